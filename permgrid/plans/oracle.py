@@ -101,6 +101,59 @@ select o_orderkey as row_no,
             as principal_type,
        case when o_orderkey % 80 = 0 then 'nat-1' else null end as principal_id
 from orders"""),
+    ("changes", """
+select o_orderkey as seq,
+       case when o_orderkey % 18 < 6 then (case when o_orderkey % 4 = 0 then 'group' else 'GROUP' end)
+            when o_orderkey % 9 = 0 then '' else 'USER' end as principal_type,
+       case when o_orderkey % 18 < 6 then 'nat-' || cast(c_nationkey as varchar)
+            when o_orderkey % 13 = 0 then 'user.' || cast(o_custkey % 150 as varchar) || '-x@example.com'
+            else 'user_' || cast(o_custkey % 150 as varchar) || '_x' end as principal_id,
+       'ws' || cast(case when o_orderkey % 18 < 6 then (c_nationkey + o_orderkey % 4) % 27
+                         else o_orderkey % 27 end as varchar) as workspace_id,
+       'cat' || cast(o_orderkey % 2 as varchar) as uc_catalog,
+       'sch' || cast(o_orderkey % 3 as varchar) as uc_schema,
+       'vol' || cast(o_orderkey % 4 as varchar) as volume,
+       '/y' || cast(year(o_orderdate) as varchar) || '/' as folder_path,
+       case when o_orderkey % 4 = 1 then null when o_orderkey % 4 = 2 then ''
+            when starts_with(o_orderpriority, '1') then 'DOWNLOAD' else 'READ' end as permission,
+       case o_orderkey % 5 when 0 then 'volume' when 1 then 'FOLDER_TREE' when 3 then 'folder'
+            else null end as scope
+from orders join customer on o_custkey = c_custkey"""),
+    ("changes_n", """
+select * replace (upper(coalesce(nullif(principal_type, ''), 'USER')) as principal_type) from changes"""),
+    ("workspace_candidates", """
+select cast(n_nationkey as bigint) as seq,
+       case when n_nationkey % 6 = 5 then '  ' else ' ws' || cast(20 + n_nationkey % 15 as varchar) || ' ' end
+           as workspace_id,
+       case when n_nationkey % 9 = 4 then n_name || chr(39) || 's' else n_name end as display_name,
+       'https://new' || cast(n_nationkey as varchar) || '.example.com' as host_url
+from nation"""),
+    ("logins", """
+select case when user_id % 7 = 3 then 'guest.' || cast(user_id as varchar) || '@example.com'
+            else 'user.' || cast(user_id as varchar) || '-x@example.com' end as email,
+       case when user_id % 2 = 0 then '' else 'Guest ' || cast(user_id as varchar) end as preferred_name
+from (select distinct user_id from events)"""),
+    ("admin_batch", """
+select case when n_nationkey % 2 = 0 then 'user.' || cast(n_nationkey as varchar) || '-x@example.com'
+            else 'admin.' || cast(n_regionkey as varchar) || '@example.com' end as email,
+       n_name as name
+from nation"""),
+    ("admin_ids", """
+select distinct user_id from users where is_admin"""),
+    ("listing", """
+select p.principal_type, p.principal_id, coalesce(u.display_name, p.principal_id) as display_name,
+       u.sso_email, p.workspace_id, w.display_name as workspace_name,
+       p.uc_catalog, p.uc_schema, p.volume, p.folder_path, p.permission, p.scope,
+       coalesce(g.display_name, p.granted_by) as granted_by, p.granted_at
+from grants p
+left join users u on p.principal_type = 'USER' and p.principal_id = u.user_id
+join workspaces w on p.workspace_id = w.workspace_id
+left join users g on p.granted_by = g.user_id"""),
+    ("user_ws", """
+select distinct p.user_id, w.workspace_id, w.display_name, w.host_url
+from principals p
+join grants g on g.principal_type = p.principal_type and g.principal_id = p.principal_id
+join workspaces w on w.workspace_id = g.workspace_id"""),
     # request principals: the request's own id as USER, plus its groups
     ("req_principals", """
 select distinct user_id, 'USER' as principal_type, user_id as principal_id from requests
@@ -165,4 +218,8 @@ def with_views(body: str) -> str:
     if not names:
         return body.strip()
     ctes = ",\n".join(f"{n} AS ({_VIEW_SQL[n].strip()})" for n in names)
-    return f"WITH {ctes}\n{body.strip()}"
+    b = body.strip()
+    if re.match(r"(?is)^with\s", b):
+        # the body has CTEs of its own: continue the same WITH list
+        return f"WITH {ctes},\n{b[4:].lstrip()}"
+    return f"WITH {ctes}\n{b}"

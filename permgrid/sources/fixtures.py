@@ -203,3 +203,68 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from permgrid.operators.principals import principal_table
     return principal_table(users(spark, sf_dir).select("user_id"), memberships(spark, sf_dir))
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grant change requests, one per order, applied in order-key order.
+
+    Keys follow the grants' rule but name the year folder, so some hit
+    existing keys and some do not; the type is sometimes lower case or empty;
+    the permission is sometimes NULL or empty (delete only in a bulk change).
+    """
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    k = F.col("o_orderkey")
+    is_group = (k % 18) < 6
+    vol = _vol_cols(k)
+    ws_group = F.concat(F.lit("ws"), _s((F.col("c_nationkey") + k % 4) % WORKSPACE_IDS))
+    return j.select(
+        k.alias("seq"),
+        F.when(is_group, F.when(k % 4 == 0, F.lit("group")).otherwise(F.lit("GROUP")))
+         .when(k % 9 == 0, F.lit("")).otherwise(F.lit("USER")).alias("principal_type"),
+        F.when(is_group, F.concat(F.lit("nat-"), _s("c_nationkey")))
+         .when(k % 13 == 0, _email(F.col("o_custkey") % 150))
+         .otherwise(_uid(F.col("o_custkey") % 150)).alias("principal_id"),
+        F.when(is_group, ws_group).otherwise(vol[0]).alias("workspace_id"),
+        vol[1], vol[2], vol[3],
+        F.concat(F.lit("/y"), _s(F.year("o_orderdate")), F.lit("/")).alias("folder_path"),
+        F.when(k % 4 == 1, F.lit(None).cast("string")).when(k % 4 == 2, F.lit(""))
+         .when(F.col("o_orderpriority").startswith("1"), F.lit("DOWNLOAD"))
+         .otherwise(F.lit("READ")).alias("permission"),
+        F.when(k % 5 == 0, F.lit("volume")).when(k % 5 == 1, F.lit("FOLDER_TREE"))
+         .when(k % 5 == 3, F.lit("folder")).alias("scope"),
+    )
+
+
+def workspace_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workspaces to add, one per nation in key order: padded ids, blank ids,
+    ids that exist, repeats inside the batch and a quote in a name."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    return n.select(
+        k.cast("long").alias("seq"),
+        F.when(k % 6 == 5, F.lit("  "))
+         .otherwise(F.concat(F.lit(" ws"), _s(F.lit(20) + k % 15), F.lit(" "))).alias("workspace_id"),
+        F.when(k % 9 == 4, F.concat("n_name", F.lit("'s"))).otherwise(F.col("n_name")).alias("display_name"),
+        F.concat(F.lit("https://new"), _s(k), F.lit(".example.com")).alias("host_url"))
+
+
+def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One login per user seen in events; some users are not provisioned."""
+    e = table(spark, sf_dir, "events").select("user_id").distinct()
+    u = F.col("user_id")
+    return e.select(
+        F.when(u % 7 == 3, F.concat(F.lit("guest."), _s(u), F.lit("@example.com")))
+         .otherwise(_email(u)).alias("email"),
+        F.when(u % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("Guest "), _s(u))).alias("preferred_name"))
+
+
+def admin_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admins to seed, one per nation: even nations name existing users."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    return n.select(
+        F.when(k % 2 == 0, _email(k)).otherwise(
+            F.concat(F.lit("admin."), _s("n_regionkey"), F.lit("@example.com"))).alias("email"),
+        F.col("n_name").alias("name"))
