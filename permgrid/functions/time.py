@@ -25,4 +25,5 @@ def seconds(n: int | Column) -> Column:
 def token_expiry(minted_at: Column | str, ttl_seconds: int = TOKEN_TTL_SECONDS) -> Column:
     """A token is minted with whole-second expiry: trunc(mint) + TTL."""
     m = F.col(minted_at) if isinstance(minted_at, str) else minted_at
-    return F.date_trunc("second", m) + seconds(ttl_seconds)
+    # date_trunc yields a zoned timestamp; keep the wall-clock type of the input
+    return F.date_trunc("second", m).cast("timestamp_ntz") + seconds(ttl_seconds)

@@ -1 +1,213 @@
-"""Registered queries."""
+"""Registered queries: inventory, contents, previews, bundles, paths, sources."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from permgrid.functions.paths import folder_ancestors, parse_volume_path, volume_path
+from permgrid.operators import files as FL
+from permgrid.operators import importer as I
+from permgrid.operators import principals as P
+from permgrid.plans import entitlement as E
+from permgrid.plans.catalog import register
+from permgrid.plans.oracle import AS_OF
+from permgrid.schemas import GRANTS, VOL_KEY
+from permgrid.session import scratch_path
+from permgrid.sources import fixtures as fx
+from permgrid.sources import files as SF
+from permgrid.sources import tables as TB
+from permgrid.sources.store import volume_store
+
+VK = ", ".join(VOL_KEY)
+FK = VK + ", folder"
+BUNDLE_DAY = F.lit(AS_OF[:10]).cast("date")
+
+
+@register("dir_file_split", f"""
+with pos as (
+  select {VK}, folder, unnest(range(1, length(folder) + 1)) as i from folders),
+parents as (
+  select {VK}, folder, substr(folder, 1, i) as parent, substr(folder, i + 1) as rest
+  from pos where substr(folder, i, 1) = '/'),
+dirs as (
+  select distinct {VK}, parent as folder, split_part(rest, '/', 1) as name
+  from parents where strpos(rest, '/') > 0)
+select {VK}, folder, 'dir' as entry_type, name, folder || name || '/' as path from dirs
+union all
+select {VK}, folder, 'file', name, folder || name from files""")
+def q_dir_file_split(spark, sf):
+    return FL.dir_file_split(fx.files(spark, sf))
+
+
+@register("folder_ancestors", f"""
+with pos as (
+  select {VK}, folder, unnest(range(1, length(folder))) as i from folders)
+select {VK}, folder, substr(folder, 1, i) as ancestor from pos where substr(folder, i, 1) = '/'""")
+def q_folder_ancestors(spark, sf):
+    f = E.inventory_folders(fx.files(spark, sf))
+    return f.select(*VOL_KEY, "folder", F.explode(folder_ancestors("folder")).alias("ancestor"))
+
+
+@register("parse_volume_path", """
+select '/Volumes/' || uc_catalog || '/' || uc_schema || '/' || volume || folder || name as path,
+       uc_catalog, uc_schema, volume, folder, name
+from files""")
+def q_parse_volume_path(spark, sf):
+    p = fx.files(spark, sf).select(volume_path("uc_catalog", "uc_schema", "volume", "folder", "name").alias("path"))
+    return p.select("path", *parse_volume_path("path"))
+
+
+@register("selection_totals", f"""
+select {FK}, count(*) as n_files, cast(sum(coalesce(size, 0)) as bigint) as total_bytes
+from files group by all""")
+def q_selection_totals(spark, sf):
+    return FL.folder_totals(fx.files(spark, sf))
+
+
+_DL = """
+select d.request_id, d.effective,
+       coalesce(d.effective = 'DOWNLOAD' or (d.effective = 'READ' and d.action <> 'download'), false) as allowed,
+       d.workspace_id, d.uc_catalog, d.uc_schema, d.volume, d.folder
+from decisions d where d.action = 'download'"""
+
+
+@register("bundle_manifest", f"""
+with dl as ({_DL}),
+tot as (select {FK}, count(*) as n_files, sum(coalesce(size, 0)) as total_bytes from files group by all)
+select dl.request_id, dl.effective, dl.allowed, cast(coalesce(t.n_files, 0) as bigint) as n_files,
+       cast(coalesce(t.total_bytes, 0) as bigint) as total_bytes,
+       replace(trim(dl.folder, '/'), '/', '_') || '_' || strftime(date '{AS_OF[:10]}', '%Y%m%d') || '.zip'
+           as bundle_name
+from dl left join tot t using ({FK})""")
+def q_bundle_manifest(spark, sf):
+    return FL.bundle_manifest(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf),
+                              fx.files(spark, sf), BUNDLE_DAY)
+
+
+@register("bundle_files", f"""
+with dl as ({_DL})
+select dl.request_id, '/Volumes/' || f.uc_catalog || '/' || f.uc_schema || '/' || f.volume || f.folder || f.name
+           as path, f.size
+from dl join files f using ({FK}) where dl.allowed""")
+def q_bundle_files(spark, sf):
+    return FL.bundle_files(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf),
+                           fx.files(spark, sf))
+
+
+# --- directory payloads ---------------------------------------------------------
+
+_MEMBERSHIP_SQL = """
+select 'user_' || cast(c_custkey as varchar) || '_x' as user_id, 'nat-' || cast(c_nationkey as varchar) as group_name,
+       1 as position
+from customer where c_custkey % 97 <> 0
+union all
+select 'user_' || cast(c_custkey as varchar) || '_x', 'seg-' || lower(c_mktsegment), 2
+from customer where c_custkey % 97 <> 0"""
+
+
+@register("scan_memberships", _MEMBERSHIP_SQL)
+def q_scan_memberships(spark, sf):
+    return P.scan_memberships(fx.payloads(spark, sf)).withColumn("position", F.col("position").cast("int"))
+
+
+@register("group_dedup_cap", """
+select 'user_' || cast(c_custkey as varchar) || '_x' as user_id,
+       case when c_custkey % 97 = 0 then '' else 'nat-' || cast(c_nationkey as varchar) || ',seg-' || lower(c_mktsegment)
+       end as group_list,
+       case when c_custkey % 97 = 0 then 0 else 2 end as n_groups
+from customer""")
+def q_group_dedup_cap(spark, sf):
+    g = P.group_names()
+    return fx.payloads(spark, sf).select("user_id", F.array_join(g, ",").alias("group_list"),
+                                         F.size(g).alias("n_groups"))
+
+
+# --- files on storage (rows-only) ----------------------------------------------
+
+@register("inventory_scan")
+def q_inventory_scan(spark, sf):
+    return SF.inventory_from_store(SF.list_files(spark, volume_store(spark, sf), "*.csv"))
+
+
+@register("content_source")
+def q_content_source(spark, sf):
+    c = SF.read_contents(spark, volume_store(spark, sf), "*.csv")
+    return c.select("path", "size", "bytes_read", "cut", F.length("text").alias("n_chars"))
+
+
+@register("byte_limit")
+def q_byte_limit(spark, sf):
+    c = SF.read_contents(spark, volume_store(spark, sf), "*.csv")
+    return c.select("path", "size", "bytes_read")
+
+
+@register("preview_rows")
+def q_preview_rows(spark, sf):
+    p = FL.preview(SF.read_contents(spark, volume_store(spark, sf), "*.csv"))
+    return p.select("path", F.size("headers").alias("n_headers"), F.size("rows").alias("rows_shown"),
+                    "n_data_rows", "truncated")
+
+
+@register("preview_batch")
+def q_preview_batch(spark, sf):
+    """Previews of every stored file in a folder that at least one user can read."""
+    root = volume_store(spark, sf)
+    inv = SF.inventory_from_store(SF.list_files(spark, root, "*.csv"))
+    readable = E.principal_folder_ranks(E.inventory_folders(inv), fx.grants(spark, sf)) \
+        .select(*VOL_KEY, "folder").distinct()
+    paths = inv.join(readable, [*VOL_KEY, "folder"], "left_semi").select("path")
+    c = SF.read_contents(spark, root, "*.csv").join(paths, "path", "left_semi")
+    p = FL.preview(c)
+    return p.select("path", F.array_join("headers", ",").alias("headers"),
+                    F.array_join(F.get("rows", 0), ",").alias("first_row"),
+                    F.size("rows").alias("rows_shown"), "truncated")
+
+
+@register("csv_source")
+def q_csv_source(spark, sf):
+    """Write the import rows as an uploaded CSV file, then read it back as text."""
+    path = scratch_path(spark, "upload") + ".csv"
+    raw = fx.import_rows(spark, sf).drop("row_no")
+    raw.coalesce(1).write.option("header", True).csv(path)
+    return I.read_import_csv(spark, path)
+
+
+@register("create_tables")
+def q_create_tables(spark, sf):
+    """Create the three tables at a fresh location, append the fixtures by
+    name, and report the row count of each table."""
+    db = "permgrid_" + uuid.uuid4().hex[:8]
+    loc = scratch_path(spark, "tables")
+    TB.create_tables(spark, db, loc)
+    TB.append_rows(TB.conform(fx.workspaces(spark, sf), TB.WORKSPACES), os.path.join(loc, "download_workspaces"))
+    TB.append_rows(TB.conform(fx.users(spark, sf), TB.USERS), os.path.join(loc, "download_user"))
+    TB.append_rows(TB.conform(fx.grants(spark, sf), GRANTS), os.path.join(loc, "download_permissions"))
+    parts = [spark.table(f"{db}.{t}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+             for t in TB.TABLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("snapshot_sink", """
+select * from grants g where not exists (
+  select 1 from changes_n c where c.principal_type = g.principal_type and c.principal_id = g.principal_id
+    and c.workspace_id = g.workspace_id and c.uc_catalog = g.uc_catalog and c.uc_schema = g.uc_schema
+    and c.volume = g.volume and c.folder_path = g.folder_path)
+union all
+select principal_type, principal_id, workspace_id, uc_catalog, uc_schema, volume, folder_path, permission,
+       'user_0_x', timestamp '""" + AS_OF + """', 'FOLDER'
+from changes_n where coalesce(permission <> '', false)""")
+def q_snapshot_sink(spark, sf):
+    """Version 1 = current grants, version 2 = after a bulk change; read latest."""
+    from permgrid.operators.changes import bulk_change
+    root = scratch_path(spark, "grants_snapshots")
+    g = TB.conform(fx.grants(spark, sf), GRANTS)
+    TB.write_snapshot(g, root, spark)
+    v1 = TB.read_latest(spark, root, GRANTS)
+    TB.write_snapshot(bulk_change(v1, fx.changes(spark, sf), "user_0_x", AS_OF), root, spark)
+    return TB.read_latest(spark, root, GRANTS)

@@ -126,7 +126,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("event_type") != "signup")
+    return requests_from_events(table(spark, sf_dir, "events"))
+
+
+def requests_from_events(events: DataFrame) -> DataFrame:
+    """Access requests of an events DataFrame (batch or one stream micro-batch)."""
+    e = events.where(F.col("event_type") != "signup")
     k = F.col("event_id")
     year = _s(F.lit(1995) + k % 7)
     return e.select(
