@@ -27,7 +27,18 @@ WORKSPACE_IDS = 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rebalance_small_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def rebalance_small_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    One Parquet row group is one split, so a small single-row-group file would
+    run everything up to the first shuffle in one task.  Large inputs have many
+    splits and are returned unchanged (no extra shuffle at scale).
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def _s(c: Column | str) -> Column:
