@@ -23,7 +23,8 @@ from permgrid.sources.store import volume_store
 
 VK = ", ".join(VOL_KEY)
 FK = VK + ", folder"
-BUNDLE_DAY = F.lit(AS_OF[:10]).cast("date")
+def _bundle_day():
+    return F.lit(AS_OF[:10]).cast("date")
 
 
 @register("dir_file_split", f"""
@@ -84,7 +85,7 @@ select dl.request_id, dl.effective, dl.allowed, cast(coalesce(t.n_files, 0) as b
 from dl left join tot t using ({FK})""")
 def q_bundle_manifest(spark, sf):
     return FL.bundle_manifest(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf),
-                              fx.files(spark, sf), BUNDLE_DAY)
+                              fx.files(spark, sf), _bundle_day())
 
 
 @register("bundle_files", f"""
