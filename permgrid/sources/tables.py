@@ -93,7 +93,7 @@ def create_tables(spark: SparkSession, database: str, location: str) -> list[str
         if not val or not str(val).strip():
             raise ValueError(f"Missing required parameter: {name}")
     location = location.rstrip("/")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{location}/_db'")
     made = []
     for table, schema in TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{table}` ({_ddl(schema)}) "
