@@ -28,8 +28,9 @@ def principal_table(user_ids: DataFrame, memberships: DataFrame) -> DataFrame:
 def principal_filter(grants: DataFrame, principals: DataFrame) -> DataFrame:
     """Grants held by each user directly or through a group: an equi-join on
     (principal_type, principal_id); never an OR condition (that would plan as a
-    nested-loop join)."""
-    return principals.join(grants, ["principal_type", "principal_id"])
+    nested-loop join).  Large groups are split into member buckets."""
+    from permgrid.operators.skew import expand_to_users
+    return expand_to_users(grants, principals)
 
 
 def group_names(payload_col: str = "payload", cap: int = MAX_GROUPS_PER_USER) -> F.Column:

@@ -67,3 +67,18 @@ def test_group_payloads(spark):
     assert "u1" not in by and "u2" not in by and "u5" not in by
     assert sorted(by["u3"]) == [(1, "b"), (2, "a")]
     assert len(by["u4"]) == 500 and max(by["u4"])[1] == "g499"
+
+
+def test_expand_to_users_splits_exactly(spark):
+    from permgrid.operators.skew import expand_to_users
+    principals = spark.createDataFrame(
+        [(f"u{i}", "GROUP", "big") for i in range(300)] + [(f"u{i}", "GROUP", "small") for i in range(3)]
+        + [("u1", "USER", "u1")], "user_id string, principal_type string, principal_id string")
+    rows = spark.createDataFrame([("GROUP", "big", f"/f{j}/") for j in range(7)] + [("GROUP", "small", "/s/"),
+                                 ("USER", "u1", "/u/"), ("GROUP", "none", "/n/")],
+                                 "principal_type string, principal_id string, folder string")
+    plain = rows.join(principals, ["principal_type", "principal_id"])
+    split = expand_to_users(rows, principals, members_per_task=7, max_buckets=16)
+    assert split.count() == 7 * 300 + 3 + 1
+    assert plain.exceptAll(split.select(*plain.columns)).count() == 0
+    assert split.select(*plain.columns).exceptAll(plain).count() == 0
