@@ -65,7 +65,8 @@ def q_visible_workspaces(spark, sf):
 
 @register("volumes_with_folders", f"""
 select p.user_id, {", ".join("g." + c for c in VOL_KEY)}, g.folder_path, g.permission,
-       coalesce(nullif(g.scope, ''), 'FOLDER') as scope
+       coalesce(nullif(g.scope, ''), 'FOLDER') as scope,
+       case when coalesce(nullif(g.scope, ''), 'FOLDER') = 'VOLUME' then '/' else g.folder_path end as entry_folder
 from principals p join grants g on g.principal_type = p.principal_type and g.principal_id = p.principal_id""")
 def q_volumes_with_folders(spark, sf):
     return V.volumes_with_folders(fx.principals(spark, sf), fx.grants(spark, sf))
