@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from permgrid.operators import authorise as A
 from permgrid.operators import principals as P
 from permgrid.plans import entitlement as E

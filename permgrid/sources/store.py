@@ -3,8 +3,10 @@ folder, so that listing, content and preview jobs run on real files whose
 number and size grow with the data.
 
 Layout: ``<root>/workspace_id=<ws>/uc_catalog=<c>/uc_schema=<s>/volume=<v>/folder=<f>/part-*.csv``.
-Rows are repartitioned by the layout columns first, so each folder gets one
-file instead of one per writing task.
+Rows are range-partitioned on the layout columns plus a row key first: each
+folder's rows are contiguous, so a folder gets one file (or a few when it spans
+partitions) instead of one per writing task, and a hot folder is still split
+over several tasks.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ def store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_store(df: DataFrame, root: str) -> str:
-    (df.repartition(*LAYOUT).write.mode("overwrite").partitionBy(*LAYOUT)
+    (df.repartitionByRange(*LAYOUT, "l_orderkey", "l_linenumber")
+       .write.mode("overwrite").partitionBy(*LAYOUT)
        .option("header", True).csv(root))
     return root
 
@@ -45,9 +48,10 @@ def write_store(df: DataFrame, root: str) -> str:
 def volume_store(spark: SparkSession, sf_dir: str) -> str:
     """Path of the store for ``sf_dir`` below the checkpoint root, written once
     per session and reused while its ``_SUCCESS`` marker is there."""
+    from permgrid.sources.tables import path_exists
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     path = _written.get(key)
-    if path and os.path.exists(os.path.join(path, "_SUCCESS")):
+    if path and path_exists(spark, os.path.join(path, "_SUCCESS")):
         return path
     path = os.path.join(checkpoint_root(spark), "volume_store-" + os.path.basename(sf_dir.rstrip("/")))
     write_store(store_rows(spark, sf_dir), path)

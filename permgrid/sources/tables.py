@@ -41,6 +41,12 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system (any scheme)."""
+    fs, p, _ = _hadoop_fs(spark, path)
+    return bool(fs.exists(p))
+
+
 def complete_versions(spark: SparkSession, root: str) -> list[int]:
     """Version numbers under ``root`` that have a ``_SUCCESS`` marker."""
     fs, p, jvm = _hadoop_fs(spark, root)
