@@ -1,14 +1,14 @@
-"""Distributed running counts within a key, without putting a key in one task.
+"""Distributed running aggregates within a key, without putting a key in one task.
 
-``prefix_count`` gives each row the number of flagged rows before it (in a
-given order) among rows with the same key.  A window partitioned by the key
-would sort a hot key in one task; instead:
+``prefix_agg`` gives each row the sum (or max) of a value over the rows before
+it, in a given order, among rows with the same key.  A window partitioned by the
+key would sort a hot key in one task; instead:
 
 1. range-partition on (key, order): a hot key spans several partitions;
-2. count inside each (key, partition) with a window (bounded by one partition);
+2. aggregate inside each (key, partition) with a window (bounded by one partition);
 3. per (key, partition) totals -> running offsets over the partitions a key
    spans (one row per partition, bounded by the partition count);
-4. answer = offset + count inside.
+4. answer = offset combined with the value inside.
 
 The range-partitioned rows are checkpointed (reliable, below
 ``spark.checkpoint.dir``) so partition ids stay fixed for both uses.
@@ -21,21 +21,31 @@ bounded) does the work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_AGG = {"sum": F.sum, "max": F.max}
 
-def prefix_count(df: DataFrame, keys: list[str], order: list[str], flag: str,
-                 out: str = "prefix", partitions: int | None = None,
-                 max_group_rows: int = 1_000_000) -> DataFrame:
-    """``df`` plus ``out`` = number of rows with ``flag`` = 1 strictly before
-    the row within ``keys``, ordered by ``order`` (which must be unique within
-    a key for a deterministic answer)."""
+
+def _combine(how: str, a: Column, b: Column) -> Column:
+    if how == "sum":
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    return F.greatest(a, b)  # NULLs are skipped; NULL only when both are
+
+
+def prefix_agg(df: DataFrame, keys: list[str], order: list[str], value: str, how: str = "sum",
+               out: str = "prefix", partitions: int | None = None,
+               max_group_rows: int = 1_000_000) -> DataFrame:
+    """``df`` plus ``out`` = ``how`` of ``value`` over the rows strictly before
+    each row within ``keys``, ordered by ``order`` (unique within a key for a
+    deterministic answer).  Sums start at 0; a max with no earlier value is NULL."""
     from permgrid.session import checkpoint_root
+    agg = _AGG[how]
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= max_group_rows:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(flag).over(w), F.lit(0)).cast("long"))
+        v = agg(value).over(w)
+        return df.withColumn(out, F.coalesce(v, F.lit(0)).cast("long") if how == "sum" else v)
     spark = df.sparkSession
     checkpoint_root(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -43,10 +53,18 @@ def prefix_count(df: DataFrame, keys: list[str], order: list[str], flag: str,
     s = s.checkpoint(eager=True)
     w_in = (Window.partitionBy(*keys, "_pid").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("_in", F.coalesce(F.sum(flag).over(w_in), F.lit(0)))
-    tot = s.groupBy(*keys, "_pid").agg(F.sum(flag).alias("_t"))
+    s = s.withColumn("_in", agg(value).over(w_in))
+    tot = s.groupBy(*keys, "_pid").agg(agg(value).alias("_t"))
     w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.withColumn("_off", F.coalesce(F.sum("_t").over(w_off), F.lit(0))).drop("_t")
+    off = tot.withColumn("_off", agg("_t").over(w_off)).drop("_t")
+    res = _combine(how, F.col("_off"), F.col("_in"))
     return (s.join(off, [*keys, "_pid"])
-            .withColumn(out, (F.col("_off") + F.col("_in")).cast("long"))
+            .withColumn(out, res.cast("long") if how == "sum" else res)
             .drop("_pid", "_in", "_off"))
+
+
+def prefix_count(df: DataFrame, keys: list[str], order: list[str], flag: str,
+                 out: str = "prefix", partitions: int | None = None,
+                 max_group_rows: int = 1_000_000) -> DataFrame:
+    """Number of rows with ``flag`` = 1 strictly before each row within ``keys``."""
+    return prefix_agg(df, keys, order, flag, "sum", out, partitions, max_group_rows)

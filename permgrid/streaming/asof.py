@@ -1,53 +1,38 @@
 """As-of lookup: for each probe, the latest event of the same key at or
 before (or strictly before) the probe time.
 
-Spark has no as-of join, and a window over each whole key would put a hot key
-(one user with a third of all rows) into one task.  This is exact and keeps
-groups bounded by *time*, not by data volume:
-
-1. inside a time bucket (key, bucket): union probes and events, forward-fill
-   the latest event time with ``last(ignorenulls)`` over rows ordered by time;
-2. across buckets: per (key, bucket) the latest event time (a partial/final
-   aggregation), then a running max over the *bucket rows* of each key gives
-   the latest event before the bucket starts;
-3. the answer is step 1's value, else step 2's carry (one equi-join).
-
-Step 2's window sees one row per active bucket of a key, however many events
-the key has.  Ties at equal time: inclusive puts events before probes.
+Spark has no as-of join.  Probes and events are unioned, ordered by
+(time, kind) within the key, and the latest event time before each probe is
+a running max (``operators.ranking.prefix_agg``).  That running max never
+puts a hot key in one task: when the largest key is beyond a bound it runs on
+range partitions with per-partition offsets.  Ties at equal time: inclusive
+orders events before probes, exclusive probes before events.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permgrid.operators.ranking import prefix_agg
+
 
 def asof_latest(probes: DataFrame, events: DataFrame, key: str, probe_time: str,
                 event_time: str, probe_id: str, out: str = "latest", inclusive: bool = True,
-                bucket: str = "hour") -> DataFrame:
+                max_group_rows: int = 1_000_000) -> DataFrame:
     """``probes`` plus column ``out`` = max ``event_time`` of ``events`` with the
     same ``key`` and time <= (``inclusive``) or < the probe's ``probe_time``.
     ``probe_id`` must identify a probe row (it carries the answer back)."""
-    pk = probe_id
-    p = probes
     ev_kind, pr_kind = (0, 1) if inclusive else (1, 0)
-    b = lambda c: F.date_trunc(bucket, F.col(c)).cast("timestamp_ntz")
-    pu = p.select(F.col(key).alias("k"), b(probe_time).alias("b"), F.col(probe_time).alias("t"),
-                  F.lit(pr_kind).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("et"),
-                  F.col(pk).cast("string").alias("pid"))
-    eu = events.select(F.col(key).alias("k"), b(event_time).alias("b"), F.col(event_time).alias("t"),
-                       F.lit(ev_kind).alias("kind"), F.col(event_time).cast("timestamp_ntz").alias("et"),
+    pu = probes.select(F.col(key).alias("k"), F.col(probe_time).alias("t"), F.lit(pr_kind).alias("kind"),
+                       F.lit(None).cast("timestamp_ntz").alias("et"),
+                       F.col(probe_id).cast("string").alias("pid"))
+    eu = events.select(F.col(key).alias("k"), F.col(event_time).alias("t"), F.lit(ev_kind).alias("kind"),
+                       F.col(event_time).cast("timestamp_ntz").alias("et"),
                        F.lit(None).cast("string").alias("pid"))
-    w = (Window.partitionBy("k", "b").orderBy("t", "kind")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = (pu.unionByName(eu).withColumn("inside", F.last("et", ignorenulls=True).over(w))
-              .where(F.col("pid").isNotNull()).select("pid", "k", "b", "inside"))
-    per_bucket = eu.groupBy("k", "b").agg(F.max("et").alias("bmax"))
-    buckets = per_bucket.unionByName(pu.select("k", "b").distinct()
-                                     .withColumn("bmax", F.lit(None).cast("timestamp_ntz")))
-    buckets = buckets.groupBy("k", "b").agg(F.max("bmax").alias("bmax"))
-    wb = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.withColumn("carry", F.max("bmax").over(wb)).select("k", "b", "carry")
-    ans = (inside.join(carry, ["k", "b"], "left")
-           .select(F.col("pid").alias("__pid"), F.coalesce("inside", "carry").alias(out)))
-    return p.join(ans, F.col(pk).cast("string") == F.col("__pid"), "left").drop("__pid")
+    # order must be unique within a key: the probe id / event time break ties
+    u = pu.unionByName(eu).withColumn("tie", F.coalesce("pid", F.col("et").cast("string")))
+    r = prefix_agg(u, ["k"], ["t", "kind", "tie"], "et", "max", out="_latest",
+                   max_group_rows=max_group_rows)
+    ans = r.where(F.col("pid").isNotNull()).select(F.col("pid").alias("__pid"), F.col("_latest").alias(out))
+    return probes.join(ans, F.col(probe_id).cast("string") == F.col("__pid"), "left").drop("__pid")

@@ -15,10 +15,12 @@ def test_asof_matches_brute_force(spark):
     e = spark.createDataFrame(ev, "k string, et timestamp_ntz")
     p = spark.createDataFrame(pr, "pid long, k string, pt timestamp_ntz")
     for inclusive in (True, False):
-        got = {r.pid: r.latest for r in asof_latest(p, e, "k", "pt", "et", "pid", inclusive=inclusive).collect()}
-        for pid, k, t in pr:
-            c = [x for kk, x in ev if kk == k and (x <= t if inclusive else x < t)]
-            assert got[pid] == (max(c) if c else None), (pid, inclusive)
+        for bound in (1_000_000, 20):  # plain keyed window, then range-partitioned path
+            got = {r.pid: r.latest for r in asof_latest(p, e, "k", "pt", "et", "pid", inclusive=inclusive,
+                                                        max_group_rows=bound).collect()}
+            for pid, k, t in pr:
+                c = [x for kk, x in ev if kk == k and (x <= t if inclusive else x < t)]
+                assert got[pid] == (max(c) if c else None), (pid, inclusive, bound)
 
 
 def test_stream_equals_batch(spark):
