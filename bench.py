@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -43,10 +42,9 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     from permgrid.plans.catalog import all_queries
     from permgrid.session import build_session
-    extra = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-ckpt-")}
+    # spark.checkpoint.dir: the configured one, else checkpoint_root() makes a private local one
     spark = build_session(f"local[{cpus}]", app="permgrid-bench",
-                          shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * int(cpus)))),
-                          extra=extra)
+                          shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * int(cpus)))))
     qs = all_queries()
     times: dict[str, float] = {}
     for n in names:

@@ -24,8 +24,7 @@ def main() -> None:
     from permgrid.session import build_session
     spark = build_session("local[8]", shuffle_partitions=16, extra={
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": logdir,
-        "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false",
-        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="ckpt-")})
+        "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"})
     job = all_queries()[name]
     for run in range(2):
         t0 = time.time()
