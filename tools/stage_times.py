@@ -1,7 +1,8 @@
 """Per-stage wall time of one registered query, from Spark's event log.
 
-Usage: python tools/stage_times.py <query> [sf_dir]
+Usage: [STAGE_CONF=key=value,...] python tools/stage_times.py <query> [sf_dir]
 The event log goes to a fresh scratch folder; the Spark UI stays off.
+STAGE_CONF adds session settings for an experiment.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ def main() -> None:
     logdir = tempfile.mkdtemp(prefix="evlog-")
     from permgrid.plans.catalog import all_queries
     from permgrid.session import build_session
-    spark = build_session("local[8]", shuffle_partitions=16, extra={
+    extra_conf = dict(kv.split("=", 1) for kv in os.environ.get("STAGE_CONF", "").split(",") if kv)
+    spark = build_session("local[8]", shuffle_partitions=16, extra={**extra_conf,
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": logdir,
         "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"})
     job = all_queries()[name]
