@@ -1,22 +1,17 @@
-"""Distributed running aggregates within a key, without putting a key in one task.
+"""Running aggregates within a key, without putting a key in one task.
 
 ``prefix_agg`` gives each row the sum (or max) of a value over the rows before
 it, in a given order, among rows with the same key.  A window partitioned by the
-key would sort a hot key in one task; instead:
+key alone would sort a hot key in one task.  Here the caller names a *bucket*: a
+column that never falls along the order (an hour of a timestamp, a block of row
+numbers).  Then
 
-1. range-partition on (key, order): a hot key spans several partitions;
-2. aggregate inside each (key, partition) with a window (bounded by one partition);
-3. per (key, partition) totals -> running offsets over the partitions a key
-   spans (one row per partition, bounded by the partition count);
-4. answer = offset combined with the value inside.
+1. a window runs inside each (key, bucket), bounded by the rows of one bucket;
+2. one total per (key, bucket) gives running offsets over the buckets of a key;
+3. the answer is the offset combined with the value inside.
 
-The range-partitioned rows are checkpointed (reliable, below
-``spark.checkpoint.dir``) so partition ids stay fixed for both uses.
-
-The distributed path costs a sampling job and a checkpoint, so it is taken
-only when needed: a first aggregation finds the largest key group, and when
-no group exceeds ``max_group_rows`` a plain keyed window (then provably
-bounded) does the work.
+There is one path for every size, nothing is sampled or materialised, and keys
+join null-safely: rows with a NULL key are a group of their own, as in a window.
 """
 
 from __future__ import annotations
@@ -29,42 +24,43 @@ _AGG = {"sum": F.sum, "max": F.max}
 
 def _combine(how: str, a: Column, b: Column) -> Column:
     if how == "sum":
-        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+        return (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).cast("long")
     return F.greatest(a, b)  # NULLs are skipped; NULL only when both are
 
 
+def block(col: str, rows: int = 100_000) -> Column:
+    """Bucket of a numeric order: blocks of ``rows`` numbers."""
+    return F.floor(F.col(col) / F.lit(rows))
+
+
+def hour(col: str) -> Column:
+    """Bucket of a time order."""
+    return F.date_trunc("hour", F.col(col))
+
+
 def prefix_agg(df: DataFrame, keys: list[str], order: list[str], value: str, how: str = "sum",
-               out: str = "prefix", partitions: int | None = None,
-               max_group_rows: int = 1_000_000) -> DataFrame:
+               out: str = "prefix", bucket: Column | None = None) -> DataFrame:
     """``df`` plus ``out`` = ``how`` of ``value`` over the rows strictly before
     each row within ``keys``, ordered by ``order`` (unique within a key for a
-    deterministic answer).  Sums start at 0; a max with no earlier value is NULL."""
-    from permgrid.session import checkpoint_root
+    deterministic answer).  Sums start at 0; a max with no earlier value is NULL.
+    ``bucket`` must not fall along ``order``; default: blocks of its first column."""
     agg = _AGG[how]
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_group_rows:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        v = agg(value).over(w)
-        return df.withColumn(out, F.coalesce(v, F.lit(0)).cast("long") if how == "sum" else v)
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
-    s = s.checkpoint(eager=True)
-    w_in = (Window.partitionBy(*keys, "_pid").orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("_in", agg(value).over(w_in))
-    tot = s.groupBy(*keys, "_pid").agg(agg(value).alias("_t"))
-    w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.withColumn("_off", agg("_t").over(w_off)).drop("_t")
-    res = _combine(how, F.col("_off"), F.col("_in"))
-    return (s.join(off, [*keys, "_pid"])
-            .withColumn(out, res.cast("long") if how == "sum" else res)
-            .drop("_pid", "_in", "_off"))
+    s = df.withColumn("_b", block(order[0]) if bucket is None else bucket)
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_k{i}" for i in range(len(keys))]
+    offsets = (s.groupBy(*keys, "_b").agg(agg(value).alias("_t"))
+               .withColumn("_off", agg("_t").over(over)).drop("_t")
+               .select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_b").alias("_kb"), "_off"))
+    s = s.withColumn("_in", agg(value).over(inside))
+    same = F.col("_b").eqNullSafe(F.col("_kb"))
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return (s.join(offsets, same).withColumn(out, _combine(how, F.col("_off"), F.col("_in")))
+            .drop("_b", "_kb", "_in", "_off", *names))
 
 
 def prefix_count(df: DataFrame, keys: list[str], order: list[str], flag: str,
-                 out: str = "prefix", partitions: int | None = None,
-                 max_group_rows: int = 1_000_000) -> DataFrame:
+                 out: str = "prefix", bucket: Column | None = None) -> DataFrame:
     """Number of rows with ``flag`` = 1 strictly before each row within ``keys``."""
-    return prefix_agg(df, keys, order, flag, "sum", out, partitions, max_group_rows)
+    return prefix_agg(df, keys, order, flag, "sum", out, bucket)

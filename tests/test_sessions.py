@@ -12,15 +12,16 @@ def test_asof_matches_brute_force(spark):
     ev = [(f"u{rng.randint(0, 3)}", t0 + dt.timedelta(minutes=rng.randint(0, 3000))) for _ in range(150)]
     pr = [(i, f"u{rng.randint(0, 4)}", t0 + dt.timedelta(minutes=rng.randint(0, 3000))) for i in range(300)]
     pr += [(1000 + i, k, t) for i, (k, t) in enumerate(ev[:20])]  # exact ties
+    ev += [(None, t0), (None, t0 + dt.timedelta(hours=2))]  # a null key equals no key
+    pr += [(2000, None, t0 + dt.timedelta(days=9)), (2001, None, t0)]
     e = spark.createDataFrame(ev, "k string, et timestamp_ntz")
     p = spark.createDataFrame(pr, "pid long, k string, pt timestamp_ntz")
     for inclusive in (True, False):
-        for bound in (1_000_000, 20):  # plain keyed window, then range-partitioned path
-            got = {r.pid: r.latest for r in asof_latest(p, e, "k", "pt", "et", "pid", inclusive=inclusive,
-                                                        max_group_rows=bound).collect()}
-            for pid, k, t in pr:
-                c = [x for kk, x in ev if kk == k and (x <= t if inclusive else x < t)]
-                assert got[pid] == (max(c) if c else None), (pid, inclusive, bound)
+        got = {r.pid: r.latest for r in asof_latest(p, e, "k", "pt", "et", "pid", inclusive=inclusive).collect()}
+        assert len(got) == len(pr)
+        for pid, k, t in pr:
+            c = [x for kk, x in ev if k is not None and kk == k and (x <= t if inclusive else x < t)]
+            assert got[pid] == (max(c) if c else None), (pid, inclusive)
 
 
 def test_stream_equals_batch(spark):
