@@ -29,22 +29,15 @@ def js_trim(c: Column | str) -> Column:
     return F.btrim(_c(c), F.lit(JS_SPACE))
 
 
-def py_upper(c: Column | str) -> Column:
-    return F.upper(_c(c))
-
-
 def utf8_lossy(content: Column | str) -> Column:
     """Decode bytes as UTF-8, replacing invalid sequences with U+FFFD."""
     return F.make_valid_utf8(_c(content).cast("string"))
 
 
-def csv_line_cells(content: Column | str) -> Column:
-    """Preview split of a text: trim, split on LF, drop blank lines, split each
-    line on every comma (quotes do not protect), trim each cell and remove one
-    leading and one trailing double quote.  Returns ``array<array<string>>``."""
-    lines = F.filter(F.split(js_trim(content), "\n"), lambda ln: js_trim(ln) != F.lit(""))
-    return F.transform(lines, lambda ln: F.transform(
-        F.split(ln, ","), lambda cell: F.regexp_replace(js_trim(cell), '^"|"$', "")))
+def csv_line_cells(line: Column | str) -> Column:
+    """Cells of one preview line: split on every comma (quotes do not protect), trim, and
+    take off one leading and one trailing double quote."""
+    return F.transform(F.split(js_trim(line), ","), lambda c: F.regexp_replace(js_trim(c), '^"|"$', ""))
 
 
 def user_slug(email: Column | str) -> Column:

@@ -42,9 +42,9 @@ def duplicate_grants(grants: DataFrame) -> DataFrame:
             .where(F.col("n_rows") > 1))
 
 
-def value_profile(grants: DataFrame) -> DataFrame:
-    """Per checked column and value, the row count and whether the value is
-    in the domain (NULL or '' scope is valid: it reads as FOLDER)."""
+def unknown_values(grants: DataFrame) -> DataFrame:
+    """Per checked column, the values outside its domain and their row counts
+    (NULL or '' scope is valid: it reads as FOLDER)."""
     checks = [("permission", PERMISSIONS, False), ("scope", SCOPES, True),
               ("principal_type", PRINCIPAL_TYPES, False)]
     parts = []
@@ -53,12 +53,12 @@ def value_profile(grants: DataFrame) -> DataFrame:
         known = v.isin(*domain)
         if blank_ok:
             known = known | v.isNull() | (v == "")
-        parts.append(grants.select(F.lit(col).alias("column_name"), v.alias("value"),
-                                   F.coalesce(known, F.lit(False)).alias("known")))
+        parts.append(grants.where(~F.coalesce(known, F.lit(False)))
+                     .select(F.lit(col).alias("column_name"), v.alias("value")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy("column_name", "value", "known").agg(F.count(F.lit(1)).alias("n_rows"))
+    return u.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def no_access_users(users: DataFrame, visible: DataFrame) -> DataFrame:

@@ -39,6 +39,32 @@ def with_admin_flag(df: DataFrame, users: DataFrame, id_col: str = "principal_id
 # Rejection reasons, in the order the reference checks them.
 REASONS = ("quote_in_field", "bad_principal_type", "quote_in_principal", "bad_scope",
            "volume_for_group", "volume_for_non_admin")
+# Fields that a request must carry; NULL is missing, and so is a blank one when asked for.
+REQUIRED = ("principal_id", *VOL_KEY, "folder_path", "permission")
+
+
+def missing_field(blank_too: bool = False, columns: tuple[str, ...] = REQUIRED) -> Column:
+    """True when a required field is NULL (or blank, with ``blank_too``)."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.col(c).isNull()
+        if blank_too:
+            out = out | (py_strip(c) == "")
+    return F.coalesce(out, F.lit(True))
+
+
+def key_rejection() -> Column:
+    """First failing rule of a delete or bulk change: a missing key field, an unknown
+    principal type, or a quote in the principal; NULL when accepted."""
+    keys = tuple(c for c in REQUIRED if c != "permission")
+    return (F.when(missing_field(columns=keys), F.lit("missing_field"))
+             .when(~norm_principal_type().isin(*PRINCIPAL_TYPES), F.lit(REASONS[1]))
+             .when(has_quote("principal_id"), F.lit(REASONS[2])))
+
+
+def accepted_changes(changes: DataFrame) -> DataFrame:
+    """The changes that :func:`key_rejection` lets pass."""
+    return changes.where(key_rejection().isNull())
 
 
 def grant_rejection(check_fields: bool = True) -> Column:
@@ -46,7 +72,7 @@ def grant_rejection(check_fields: bool = True) -> Column:
     when accepted.  Needs ``grantee_is_admin`` (see :func:`with_admin_flag`)."""
     pt = norm_principal_type()
     sc = norm_scope()
-    rules: list[tuple[Column, str]] = []
+    rules: list[tuple[Column, str]] = [(missing_field(blank_too=check_fields), "missing_field")]
     if check_fields:
         rules.append((has_quote("uc_catalog") | has_quote("uc_schema") | has_quote("volume")
                       | has_quote("folder_path"), REASONS[0]))
@@ -85,10 +111,12 @@ def _norm_keys(changes: DataFrame) -> DataFrame:
     return changes.withColumn("principal_type", norm_principal_type())
 
 
-def delete_grants(grants: DataFrame, keys: DataFrame) -> DataFrame:
-    """Remove every row matching a key (SQL equality: NULL never matches)."""
-    k = _norm_keys(keys).select(*GRANT_KEY).distinct()
-    return grants.join(k, GRANT_KEY, "left_anti")
+def delete_grants(grants: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Remove every row matching an accepted key (SQL equality: NULL never matches).
+    Returns (next snapshot, rejected keys with reason)."""
+    k = _norm_keys(accepted_changes(keys)).select(*GRANT_KEY).distinct()
+    rejected = keys.withColumn("reason", key_rejection()).where(F.col("reason").isNotNull())
+    return grants.join(k, GRANT_KEY, "left_anti"), rejected
 
 
 def update_grants(grants: DataFrame, changes: DataFrame, users: DataFrame, granter: str,
@@ -113,15 +141,26 @@ def update_grants(grants: DataFrame, changes: DataFrame, users: DataFrame, grant
     return out.select(*GRANT_COLUMNS), v.where(F.col("reason").isNotNull())
 
 
-def bulk_change(grants: DataFrame, changes: DataFrame, granter: str, as_of=None) -> DataFrame:
+class RejectedChange(ValueError):
+    """A bulk change holds a request that must not pass; nothing of it is applied."""
+
+
+def bulk_change(grants: DataFrame, changes: DataFrame, granter: str, as_of=None) -> tuple[DataFrame, DataFrame]:
     """B1: delete every key named by a change, then insert the changes that carry
-    a non-empty permission, with scope FOLDER (duplicates inserted as given)."""
+    a non-empty permission, with scope FOLDER (duplicates inserted as given).
+
+    Returns (next snapshot, one row with ``applied``, the number of changes).  One
+    change with a quote in its principal fails the whole call; a type is taken as given
+    (upper-cased, empty means USER).  Filter with :func:`accepted_changes` to apply the rest."""
+    bad = changes.where(has_quote("principal_id")).limit(1).count()
+    if bad:
+        raise RejectedChange("a principal of the bulk change contains a quote; nothing was applied")
     c = _norm_keys(changes)
     kept = grants.join(c.select(*GRANT_KEY).distinct(), GRANT_KEY, "left_anti")
     add = c.where(F.coalesce(F.col("permission") != "", F.lit(False))).select(
         *GRANT_KEY, "permission", F.lit(granter).alias("granted_by"),
         now_stamp(as_of).alias("granted_at"), F.lit("FOLDER").alias("scope"))
-    return kept.unionByName(add.select(*GRANT_COLUMNS))
+    return kept.unionByName(add.select(*GRANT_COLUMNS)), changes.agg(F.count(F.lit(1)).alias("applied"))
 
 
 def workspace_rejection() -> Column:
@@ -153,12 +192,14 @@ def add_workspaces(workspaces: DataFrame, candidates: DataFrame, order_col: str
 
 
 def seed_users(users: DataFrame, admins: DataFrame) -> DataFrame:
-    """Insert-if-absent by e-mail for a batch of admins ``(email, name)``; the
-    id is the e-mail's slug without collision suffix, as the setup job does."""
+    """Insert-if-absent by e-mail for a batch of admins ``(email, name)``: both are stripped,
+    a blank e-mail is skipped, a blank name becomes the e-mail; the id is the e-mail's slug
+    without collision suffix."""
     from permgrid.functions.text import user_slug
-    new = (admins.join(users.select(F.col("sso_email").alias("email")), "email", "left_anti")
+    batch = admins.select(py_strip("email").alias("email"), F.nullif(py_strip("name"), F.lit("")).alias("name"))
+    new = (batch.where(F.col("email") != "")
+           .join(users.select(F.col("sso_email").alias("email")), "email", "left_anti")
            .groupBy("email").agg(F.min("name").alias("name")))
-    rows = new.select(user_slug("email").alias("user_id"),
-                      F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("email")).alias("display_name"),
+    rows = new.select(user_slug("email").alias("user_id"), F.coalesce("name", "email").alias("display_name"),
                       F.col("email").alias("sso_email"), F.lit(True).alias("is_admin"))
     return users.unionByName(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permgrid.schemas import GROUP_PAYLOAD, MAX_GROUPS_PER_USER
+from permgrid.schemas import GROUP_PAYLOAD
 
 
 def principal_table(user_ids: DataFrame, memberships: DataFrame) -> DataFrame:
@@ -33,18 +33,23 @@ def principal_filter(grants: DataFrame, principals: DataFrame) -> DataFrame:
     return expand_to_users(grants, principals)
 
 
-def group_names(payload_col: str = "payload", cap: int = MAX_GROUPS_PER_USER) -> F.Column:
+def group_names(payload_col: str = "payload", cap: int | None = None) -> F.Column:
     """Group names of one directory answer: parse JSON (bad JSON -> no groups),
-    keep non-empty names, de-duplicate keeping first order, keep the first
-    ``cap``.  Row-local array work: no shuffle."""
+    keep non-empty names, de-duplicate keeping first order.  All names are kept unless
+    the caller sets ``cap`` (see :func:`names_beyond`).  Row-local array work: no shuffle."""
     parsed = F.from_json(F.col(payload_col), GROUP_PAYLOAD, {"mode": "PERMISSIVE"})
     names = F.transform(F.coalesce(parsed["groups"], F.array().cast("array<struct<display:string>>")),
                         lambda g: g["display"])
     kept = F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != F.lit(""))))
-    return F.slice(kept, 1, cap)
+    return kept if cap is None else F.slice(kept, 1, cap)
 
 
-def scan_memberships(payloads: DataFrame, cap: int = MAX_GROUPS_PER_USER) -> DataFrame:
+def names_beyond(cap: int, payload_col: str = "payload") -> F.Column:
+    """How many distinct group names a cap leaves out of an answer."""
+    return F.greatest(F.size(group_names(payload_col)) - F.lit(cap), F.lit(0))
+
+
+def scan_memberships(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     """Directory payloads ``(user_id, payload)`` -> memberships
     ``(user_id, group_name, position)``, position 1-based in payload order."""
     return (payloads.select("user_id", F.posexplode(group_names("payload", cap)).alias("pos", "group_name"))

@@ -22,9 +22,9 @@ select 'user_' || cast(c_custkey as varchar) || '_x' as user_id, c_name as displ
 from customer"""),
     ("memberships", """
 select 'user_' || cast(c_custkey as varchar) || '_x' as user_id,
-       'nat-' || cast(c_nationkey as varchar) as group_name from customer
+       'nat-' || cast(c_nationkey as varchar) as group_name from customer where c_custkey % 7 <> 3
 union all
-select 'user_' || cast(c_custkey as varchar) || '_x', 'seg-' || lower(c_mktsegment) from customer"""),
+select 'user_' || cast(c_custkey as varchar) || '_x', 'seg-' || lower(c_mktsegment) from customer where c_custkey % 7 <> 3"""),
     ("principals", """
 select user_id, 'USER' as principal_type, user_id as principal_id from users
 union all
@@ -34,31 +34,31 @@ select 'ws' || cast(n_nationkey as varchar) as workspace_id, n_name as display_n
        'https://ws' || cast(n_nationkey as varchar) || '.example.com' as host_url
 from nation"""),
     ("grants", """
-select case when o_orderkey % 18 < 6 then 'GROUP' else 'USER' end as principal_type,
-       case when o_orderkey % 18 < 6 then 'nat-' || cast(c_nationkey as varchar)
-            when o_orderkey % 13 = 0 then 'user.' || cast(o_custkey % 150 as varchar) || '-x@example.com'
-            else 'user_' || cast(o_custkey % 150 as varchar) || '_x' end as principal_id,
-       'ws' || cast(case when o_orderkey % 18 < 6 then (c_nationkey + o_orderkey % 4) % 27
+select case when (o_orderkey % 18 < 6 or o_custkey % 49 = 3) then 'GROUP' else 'USER' end as principal_type,
+       case when (o_orderkey % 18 < 6 or o_custkey % 49 = 3) then 'nat-' || cast(c_nationkey as varchar)
+            when o_orderkey % 13 = 0 then 'user.' || cast(case when o_orderkey % 2 = 0 then o_custkey % 150 else o_custkey end as varchar) || '-x@example.com'
+            else 'user_' || cast(case when o_orderkey % 2 = 0 then o_custkey % 150 else o_custkey end as varchar) || '_x' end as principal_id,
+       'ws' || cast(case when (o_orderkey % 18 < 6 or o_custkey % 49 = 3) then (c_nationkey + o_orderkey % 4) % 27
                          else o_orderkey % 27 end as varchar) as workspace_id,
        'cat' || cast(o_orderkey % 2 as varchar) as uc_catalog,
        'sch' || cast(o_orderkey % 3 as varchar) as uc_schema,
-       'vol' || cast(o_orderkey % 4 as varchar) as volume,
+       'vol' || cast(case when o_orderkey % 3 <> 1 then o_orderkey % 4 else 4 + (o_orderkey // 32) % 1000 end as varchar) as volume,
        case when o_orderkey % 7 = 0 then '/'
             when o_orderkey % 7 in (1, 2) then '/y' || cast(year(o_orderdate) as varchar) || '/'
             when o_orderkey % 7 = 6 then '/y' || substr(cast(year(o_orderdate) as varchar), 1, 3)
             else '/y' || cast(year(o_orderdate) as varchar) || '/m'
                  || lpad(cast(month(o_orderdate) as varchar), 2, '0') || '/' end as folder_path,
-       case when o_orderstatus = 'F' then 'DOWNLOAD' else 'READ' end as permission,
+       case when o_orderkey % 97 = 0 then 'WRITE' when o_orderstatus = 'F' then 'DOWNLOAD' else 'READ' end as permission,
        case when o_orderkey % 11 = 0 then 'bootstrap' else 'user_0_x' end as granted_by,
        o_orderdate as granted_at,
-       case when o_orderkey % 7 = 0 then 'VOLUME' when o_orderkey % 7 in (1, 2, 6) then 'FOLDER_TREE'
+       case when o_orderkey % 89 = 0 then 'SUBTREE' when o_orderkey % 7 = 0 then 'VOLUME' when o_orderkey % 7 in (1, 2, 6) then 'FOLDER_TREE'
             when o_orderkey % 7 in (3, 4) then 'FOLDER' else null end as scope
 from orders join customer on o_custkey = c_custkey"""),
     ("files", """
 select 'ws' || cast(l_orderkey % 27 as varchar) as workspace_id,
        'cat' || cast(l_orderkey % 2 as varchar) as uc_catalog,
        'sch' || cast(l_orderkey % 3 as varchar) as uc_schema,
-       'vol' || cast(l_orderkey % 4 as varchar) as volume,
+       'vol' || cast(case when l_orderkey % 3 <> 1 then l_orderkey % 4 else 4 + (l_orderkey // 32) % 1000 end as varchar) as volume,
        case when l_linenumber = 1 then '/y' || cast(year(l_shipdate) as varchar) || '/'
             else '/y' || cast(year(l_shipdate) as varchar) || '/m'
                  || lpad(cast(month(l_shipdate) as varchar), 2, '0') || '/' end as folder,
@@ -67,11 +67,11 @@ select 'ws' || cast(l_orderkey % 27 as varchar) as workspace_id,
        cast(l_quantity as bigint) * 4096 as size, l_shipdate as modified
 from lineitem"""),
     ("requests", """
-select event_id as request_id, ts, 'user_' || cast(user_id as varchar) || '_x' as user_id,
+select event_id as request_id, ts, case when event_id % 211 <> 0 then 'user_' || cast(user_id as varchar) || '_x' end as user_id,
        'ws' || cast(event_id % 27 as varchar) as workspace_id,
        'cat' || cast(event_id % 2 as varchar) as uc_catalog,
        'sch' || cast(event_id % 3 as varchar) as uc_schema,
-       'vol' || cast(event_id % 4 as varchar) as volume,
+       'vol' || cast(case when event_id % 3 <> 1 then event_id % 4 else 4 + (event_id // 32) % 1000 end as varchar) as volume,
        case when event_id % 5 = 0 then '/y' || cast(1995 + event_id % 7 as varchar) || '/'
             else '/y' || cast(1995 + event_id % 7 as varchar) || '/m'
                  || lpad(cast(1 + event_id % 12 as varchar), 2, '0') || '/' end as folder,
@@ -79,20 +79,24 @@ select event_id as request_id, ts, 'user_' || cast(user_id as varchar) || '_x' a
             else 'browse' end as action
 from events where event_type <> 'signup'"""),
     ("mints", """
-select 'user_' || cast(user_id as varchar) || '_x' as user_id, ts as minted_at, event_id as mint_id
+select case when event_id % 211 <> 0 then 'user_' || cast(user_id as varchar) || '_x' end as user_id, ts as minted_at, event_id as mint_id
 from events where event_type = 'signup'"""),
     ("removals", """
-select 'user_' || cast(user_id as varchar) || '_x' as user_id, ts as removed_at, event_id as removal_id
+select case when event_id % 211 <> 0 then 'user_' || cast(user_id as varchar) || '_x' end as user_id, ts as removed_at, event_id as removal_id
 from events where event_type = 'error'"""),
     ("import_rows", """
 select o_orderkey as row_no,
-       case when o_orderkey % 70 = 0 then '' else ' ' || case when o_orderkey % 30 = 0 then 'new.' else 'user.' end
-            || cast(o_custkey % 150 as varchar) || '-x@example.com ' end as email,
-       'Imported ' || cast(o_custkey % 150 as varchar) as display_name,
+       case when o_orderkey % 70 = 0 then '' else ' ' || case o_orderkey % 30
+              when 0 then 'new.' || (o_custkey // 8) || '@d' || ((o_orderkey // 30) % 4) || '.example.com'
+              when 10 then 'user.' || (o_custkey // 8) || '-x@d' || ((o_orderkey // 30) % 4) || '.example.com'
+              when 20 then 'user.' || (o_custkey // 8) || '-x-' || (1 + o_orderkey % 3) || '@d' || ((o_orderkey // 30) % 4)
+                   || '.example.com'
+              else 'user.' || o_custkey || '-x@example.com' end || ' ' end as email,
+       'Imported ' || cast(o_custkey as varchar) as display_name,
        'ws' || cast(o_orderkey % 27 as varchar) as workspace_id,
        'cat' || cast(o_orderkey % 2 as varchar) as uc_catalog,
        'sch' || cast(o_orderkey % 3 as varchar) as uc_schema,
-       case when o_orderkey % 110 = 0 then ' ' else 'vol' || cast(o_orderkey % 4 as varchar) end as volume,
+       case when o_orderkey % 110 = 0 then ' ' else 'vol' || cast(case when o_orderkey % 3 <> 1 then o_orderkey % 4 else 4 + (o_orderkey // 32) % 1000 end as varchar) end as volume,
        '/y' || cast(year(o_orderdate) as varchar) || '/' as folder_path,
        case when o_orderstatus = 'F' then ' download' else 'Read ' end as permission,
        case o_orderkey % 50 when 0 then 'volume' when 10 then 'folder_tree' when 20 then 'bogus'
@@ -103,16 +107,16 @@ select o_orderkey as row_no,
 from orders"""),
     ("changes", """
 select o_orderkey as seq,
-       case when o_orderkey % 18 < 6 then (case when o_orderkey % 4 = 0 then 'group' else 'GROUP' end)
+       case when o_orderkey % 101 = 0 then 'robot' when o_orderkey % 18 < 6 then (case when o_orderkey % 4 = 0 then 'group' else 'GROUP' end)
             when o_orderkey % 9 = 0 then '' else 'USER' end as principal_type,
-       case when o_orderkey % 18 < 6 then 'nat-' || cast(c_nationkey as varchar)
-            when o_orderkey % 13 = 0 then 'user.' || cast(o_custkey % 150 as varchar) || '-x@example.com'
-            else 'user_' || cast(o_custkey % 150 as varchar) || '_x' end as principal_id,
+       case when o_orderkey % 103 = 0 then 'o''neil' when o_orderkey % 107 = 0 then ' ' when o_orderkey % 18 < 6 then 'nat-' || cast(c_nationkey as varchar)
+            when o_orderkey % 13 = 0 then 'user.' || cast(case when o_orderkey % 2 = 0 then o_custkey % 150 else o_custkey end as varchar) || '-x@example.com'
+            else 'user_' || cast(case when o_orderkey % 2 = 0 then o_custkey % 150 else o_custkey end as varchar) || '_x' end as principal_id,
        'ws' || cast(case when o_orderkey % 18 < 6 then (c_nationkey + o_orderkey % 4) % 27
                          else o_orderkey % 27 end as varchar) as workspace_id,
        'cat' || cast(o_orderkey % 2 as varchar) as uc_catalog,
        'sch' || cast(o_orderkey % 3 as varchar) as uc_schema,
-       'vol' || cast(o_orderkey % 4 as varchar) as volume,
+       'vol' || cast(case when o_orderkey % 3 <> 1 then o_orderkey % 4 else 4 + (o_orderkey // 32) % 1000 end as varchar) as volume,
        '/y' || cast(year(o_orderdate) as varchar) || '/' as folder_path,
        case when o_orderkey % 4 = 1 then null when o_orderkey % 4 = 2 then ''
             when starts_with(o_orderpriority, '1') then 'DOWNLOAD' else 'READ' end as permission,
@@ -121,6 +125,12 @@ select o_orderkey as seq,
 from orders join customer on o_custkey = c_custkey"""),
     ("changes_n", """
 select * replace (upper(coalesce(nullif(principal_type, ''), 'USER')) as principal_type) from changes"""),
+    # changes that a delete or bulk change lets pass
+    ("bulk_ok", """
+select * from changes_n
+where principal_type in ('USER', 'GROUP') and not contains(principal_id, chr(39))
+  and principal_id is not null and workspace_id is not null and uc_catalog is not null and uc_schema is not null
+  and volume is not null and folder_path is not null"""),
     ("workspace_candidates", """
 select cast(n_nationkey as bigint) as seq,
        case when n_nationkey % 6 = 5 then '  ' else ' ws' || cast(20 + n_nationkey % 15 as varchar) || ' ' end
@@ -134,21 +144,30 @@ select case when user_id % 7 = 3 then 'guest.' || cast(user_id as varchar) || '@
        case when user_id % 2 = 0 then '' else 'Guest ' || cast(user_id as varchar) end as preferred_name
 from (select distinct user_id from events)"""),
     ("admin_batch", """
-select case when n_nationkey % 2 = 0 then 'user.' || cast(n_nationkey as varchar) || '-x@example.com'
-            else 'admin.' || cast(n_regionkey as varchar) || '@example.com' end as email,
-       n_name as name
+select case when n_nationkey % 8 = 5 then '  '
+            when n_nationkey % 2 = 0 then ' user.' || cast(n_nationkey as varchar) || '-x@example.com'
+            else 'admin.' || cast(n_regionkey as varchar) || '@example.com ' end as email,
+       case when n_nationkey % 5 = 1 then ' ' else ' ' || n_name end as name
 from nation"""),
+    ("selections", """
+select event_id as request_id, 'f_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '.csv' as name
+from events join lineitem on l_orderkey = event_id where event_type = 'purchase'
+union all
+select event_id, 'none.csv' from events where event_type = 'purchase'"""),
     ("admin_ids", """
 select distinct user_id from users where is_admin"""),
+    ("names", """
+select user_id as id, any_value(display_name) as shown, any_value(sso_email) as mail from users group by user_id"""),
     ("listing", """
-select p.principal_type, p.principal_id, coalesce(u.display_name, p.principal_id) as display_name,
-       u.sso_email, p.workspace_id, w.display_name as workspace_name,
-       p.uc_catalog, p.uc_schema, p.volume, p.folder_path, p.permission, p.scope,
-       coalesce(g.display_name, p.granted_by) as granted_by, p.granted_at
-from grants p
-left join users u on p.principal_type = 'USER' and p.principal_id = u.user_id
-join workspaces w on p.workspace_id = w.workspace_id
-left join users g on p.granted_by = g.user_id"""),
+select gr.* replace (
+         case when gr.granted_by in (select id from names)
+              then (select shown from names where id = gr.granted_by) else gr.granted_by end as granted_by),
+       ws.display_name as workspace_name,
+       coalesce(case when principal_type = 'USER' then (select shown from names where id = principal_id) end,
+                principal_id) as display_name,
+       case when principal_type = 'USER' then (select mail from names where id = principal_id) end as sso_email
+from workspaces ws, grants gr
+where ws.workspace_id = gr.workspace_id"""),
     ("user_ws", """
 select distinct p.user_id, w.workspace_id, w.display_name, w.host_url
 from principals p
@@ -219,7 +238,8 @@ def with_views(body: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} AS ({_VIEW_SQL[n].strip()})" for n in names)
     b = body.strip()
-    if re.match(r"(?is)^with\s", b):
+    m = re.match(r"(?is)^with\s+(recursive\s+)?", b)
+    if m:
         # the body has CTEs of its own: continue the same WITH list
-        return f"WITH {ctes},\n{b[4:].lstrip()}"
+        return f"WITH {m.group(1) or ''}{ctes},\n{b[m.end():]}"
     return f"WITH {ctes}\n{b}"

@@ -164,17 +164,14 @@ def q_duplicate_grants(spark, sf):
 
 
 @register("unknown_values", """
-select column_name, value, known, count(*) as n_rows from (
-  select 'permission' as column_name, permission as value,
-         coalesce(permission in ('READ', 'DOWNLOAD'), false) as known from grants
-  union all
-  select 'scope', scope, coalesce(scope in ('VOLUME', 'FOLDER_TREE', 'FOLDER') or scope is null
-                                  or scope = '', false) from grants
-  union all
-  select 'principal_type', principal_type, coalesce(principal_type in ('USER', 'GROUP'), false) from grants)
-group by all""")
+select 'permission' as column_name, permission as value, count(*) as n_rows from grants
+where permission not in ('READ', 'DOWNLOAD') group by 1, 2
+union all
+select 'scope', scope, count(*) from grants where coalesce(scope, '') not in ('VOLUME', 'FOLDER_TREE', 'FOLDER', '') group by 1, 2
+union all
+select 'principal_type', principal_type, count(*) from grants where principal_type not in ('USER', 'GROUP') group by 1, 2""")
 def q_unknown_values(spark, sf):
-    return X.value_profile(fx.grants(spark, sf))
+    return X.unknown_values(fx.grants(spark, sf))
 
 
 @register("no_access_users", """
@@ -188,7 +185,8 @@ def q_no_access_users(spark, sf):
 # --- changes -------------------------------------------------------------------
 
 _REASON_SQL = """
-case when {fields} then 'quote_in_field'
+case when c.permission is null or c.principal_id is null{blank} then 'missing_field'
+     when {fields} then 'quote_in_field'
      when upper(coalesce(nullif(c.principal_type, ''), 'USER')) not in ('USER', 'GROUP') then 'bad_principal_type'
      when coalesce(contains(c.principal_id, chr(39)), false) then 'quote_in_principal'
      when upper(coalesce(nullif(c.scope, ''), 'FOLDER')) not in ('VOLUME', 'FOLDER_TREE', 'FOLDER') then 'bad_scope'
@@ -196,20 +194,16 @@ case when {fields} then 'quote_in_field'
           and upper(coalesce(nullif(c.principal_type, ''), 'USER')) <> 'USER' then 'volume_for_group'
      when upper(coalesce(nullif(c.scope, ''), 'FOLDER')) = 'VOLUME' and a.user_id is null then 'volume_for_non_admin'
 end"""
+_BLANK_SQL = " or trim(c.principal_id) = '' or trim(c.permission) = ''"
 _FIELDS_SQL = " or ".join(f"coalesce(contains(c.{f}, chr(39)), false)"
                           for f in ("uc_catalog", "uc_schema", "volume", "folder_path"))
 
 
-def _requests_with_permission(spark, sf):
-    return fx.changes(spark, sf).where(F.col("permission").isNotNull())
-
-
 @register("validate_grant", f"""
-select c.seq, {_REASON_SQL.format(fields=_FIELDS_SQL)} as reason
-from changes c left join admin_ids a on a.user_id = c.principal_id
-where c.permission is not null""")
+select c.seq, {_REASON_SQL.format(fields=_FIELDS_SQL, blank=_BLANK_SQL)} as reason
+from changes c left join admin_ids a on a.user_id = c.principal_id""")
 def q_validate_grant(spark, sf):
-    v = C.validate_grants(_requests_with_permission(spark, sf), fx.users(spark, sf))
+    v = C.validate_grants(fx.changes(spark, sf), fx.users(spark, sf))
     return v.select("seq", "reason")
 
 
@@ -227,9 +221,9 @@ union all
 select upper(coalesce(nullif(c.principal_type, ''), 'USER')), c.principal_id, {", ".join("c." + x for x in VOL_KEY)},
        c.folder_path, c.permission, '{GRANTER}', timestamp '{AS_OF}', upper(coalesce(nullif(c.scope, ''), 'FOLDER'))
 from changes c left join admin_ids a on a.user_id = c.principal_id
-where c.permission is not null and ({_REASON_SQL.format(fields=_FIELDS_SQL)}) is null""")
+where ({_REASON_SQL.format(fields=_FIELDS_SQL, blank=_BLANK_SQL)}) is null""")
 def q_add_grant(spark, sf):
-    nxt, _ = C.add_grants(fx.grants(spark, sf), _requests_with_permission(spark, sf), fx.users(spark, sf),
+    nxt, _ = C.add_grants(fx.grants(spark, sf), fx.changes(spark, sf), fx.users(spark, sf),
                           GRANTER, AS_OF)
     return nxt
 
@@ -255,16 +249,24 @@ def q_append_rows(spark, sf):
 
 
 @register("delete_grants", f"""
-select * from grants g where not exists (select 1 from changes_n c where {_key_eq('c', 'g')})""")
+select * from grants g where not exists (select 1 from bulk_ok c where {_key_eq('c', 'g')})""")
 def q_delete_grants(spark, sf):
-    return C.delete_grants(fx.grants(spark, sf), fx.changes(spark, sf))
+    return C.delete_grants(fx.grants(spark, sf), fx.changes(spark, sf))[0]
+
+
+@register("rejected_deletes", """
+select seq, case when principal_id is null then 'missing_field'
+                 when upper(coalesce(nullif(principal_type, ''), 'USER')) not in ('USER', 'GROUP') then 'bad_principal_type'
+                 else 'quote_in_principal' end as reason
+from changes where seq not in (select seq from bulk_ok)""")
+def q_rejected_deletes(spark, sf):
+    return C.delete_grants(fx.grants(spark, sf), fx.changes(spark, sf))[1].select("seq", "reason")
 
 
 @register("update_grants", f"""
 with v as (
-  select c.*, {_REASON_SQL.format(fields='false')} as reason
-  from changes_n c left join admin_ids a on a.user_id = c.principal_id
-  where c.permission is not null),
+  select c.*, {_REASON_SQL.format(fields='false', blank='')} as reason
+  from changes_n c left join admin_ids a on a.user_id = c.principal_id),
 last as (
   select {GK}, arg_max(permission, seq) as new_permission,
          arg_max(upper(coalesce(nullif(scope, ''), 'FOLDER')), seq) as new_scope
@@ -276,18 +278,23 @@ select g.principal_type, g.principal_id, {", ".join("g." + x for x in VOL_KEY)},
        case when l.principal_type is null then g.scope else l.new_scope end as scope
 from grants g left join last l on {_key_eq('l', 'g')}""")
 def q_update_grants(spark, sf):
-    nxt, _ = C.update_grants(fx.grants(spark, sf), _requests_with_permission(spark, sf), fx.users(spark, sf),
+    nxt, _ = C.update_grants(fx.grants(spark, sf), fx.changes(spark, sf), fx.users(spark, sf),
                              GRANTER, AS_OF)
     return nxt
 
 
 @register("bulk_change", f"""
-select * from grants g where not exists (select 1 from changes_n c where {_key_eq('c', 'g')})
+select * from grants g where not exists (select 1 from bulk_ok c where {_key_eq('c', 'g')})
 union all
 select principal_type, principal_id, {VK}, folder_path, permission, '{GRANTER}', timestamp '{AS_OF}', 'FOLDER'
-from changes_n where coalesce(permission <> '', false)""")
+from bulk_ok where coalesce(permission <> '', false)""")
 def q_bulk_change(spark, sf):
-    return C.bulk_change(fx.grants(spark, sf), fx.changes(spark, sf), GRANTER, AS_OF)
+    return C.bulk_change(fx.grants(spark, sf), C.accepted_changes(fx.changes(spark, sf)), GRANTER, AS_OF)[0]
+
+
+@register("bulk_applied", "select count(*) as applied from bulk_ok")
+def q_bulk_applied(spark, sf):
+    return C.bulk_change(fx.grants(spark, sf), C.accepted_changes(fx.changes(spark, sf)), GRANTER, AS_OF)[1]
 
 
 _WS_DECISIONS = """
@@ -342,10 +349,10 @@ def q_add_workspace(spark, sf):
 @register("seed_users", """
 select * from users
 union all
-select replace(replace(split_part(email, '@', 1), '.', '_'), '-', '_'),
-       coalesce(nullif(min(name), ''), email), email, true
-from admin_batch where email not in (select sso_email from users where sso_email is not null)
-group by email""")
+select replace(replace(split_part(e, '@', 1), '.', '_'), '-', '_'), coalesce(min(n), e), e, true
+from (select trim(email) as e, nullif(trim(name), '') as n from admin_batch)
+where e <> '' and e not in (select sso_email from users where sso_email is not null)
+group by e""")
 def q_seed_users(spark, sf):
     return C.seed_users(fx.users(spark, sf), fx.admin_batch(spark, sf))
 
@@ -354,7 +361,7 @@ def q_seed_users(spark, sf):
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _IMPORT_ROWS = f"""
-with n0 as (
+with recursive n0 as (
   select row_no,
          trim(coalesce(email, ''), {_STRIP}) as email, trim(coalesce(display_name, ''), {_STRIP}) as name,
          trim(coalesce(workspace_id, ''), {_STRIP}) as workspace_id,
@@ -378,15 +385,34 @@ kept as (
     and permission <> ''
     and case when principal_type = 'GROUP' then group_name <> '' else email <> '' end),
 known as (select sso_email as email, max(user_id) as known_id from users group by sso_email),
+fresh as (
+  select email, min(row_no) as first_row from kept
+  where principal_type = 'USER' and email not in (select email from known where email is not null) group by email),
+slugged as (
+  select email, first_row, replace(replace(split_part(email, '@', 1), '.', '_'), '-', '_') as base from fresh),
+rooted as (
+  select *, regexp_replace(base, '(_[0-9]+)+$', '') as root from slugged),
+queued as (
+  select *, row_number() over (partition by root order by first_row) as n from rooted),
+given(root, n, email, user_id, taken) as (
+  select r.root, cast(0 as bigint), cast(null as varchar), cast(null as varchar),
+         coalesce((select list(k.known_id) from known k where regexp_replace(k.known_id, '(_[0-9]+)+$', '') = r.root), [])
+  from (select distinct root from rooted) r
+  union all
+  select root, n, email, pick, list_append(taken, pick)
+  from (select g.root, q.n, q.email, g.taken,
+               list_filter(list_prepend(q.base, list_transform(range(1, len(g.taken) + 2), lambda i: q.base || '_' || i)),
+                           lambda x: not list_contains(g.taken, x))[1] as pick
+        from given g join queued q on q.root = g.root and q.n = g.n + 1)),
 irows as (
   select k.row_no, k.principal_type,
          case when k.principal_type = 'GROUP' then k.group_name
-              else coalesce(kn.known_id, replace(replace(split_part(k.email, '@', 1), '.', '_'), '-', '_')) end
-             as principal_id,
+              else coalesce(kn.known_id, gi.user_id) end as principal_id,
          k.workspace_id, k.uc_catalog, k.uc_schema, k.volume, k.folder_path, k.permission,
          case when k.principal_type = 'GROUP' and k.scope1 = 'VOLUME' then 'FOLDER_TREE' else k.scope1 end as scope,
          k.email, k.name, kn.known_id
-  from kept k left join known kn on k.principal_type = 'USER' and kn.email = k.email)
+  from kept k left join known kn on k.principal_type = 'USER' and kn.email = k.email
+  left join given gi on k.principal_type = 'USER' and gi.email = k.email)
 """
 
 
@@ -404,8 +430,8 @@ def q_csv_import(spark, sf):
 select row_no, principal_type, workspace_id, uc_catalog, uc_schema, volume, folder_path, permission, scope
 from irows""")
 def q_import_normalise(spark, sf):
-    out = I.csv_import(fx.import_rows(spark, sf), fx.users(spark, sf), fx.grants(spark, sf), GRANTER, AS_OF)
-    return out["rows"].select("row_no", "principal_type", *VOL_KEY, "folder_path", "permission", "scope")
+    rows = I.kept_rows(fx.import_rows(spark, sf))
+    return rows.select("row_no", "principal_type", *VOL_KEY, "folder_path", "permission", "scope")
 
 
 @register("import_counts", _IMPORT_ROWS + """

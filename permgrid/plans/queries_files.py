@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from permgrid.functions.paths import folder_ancestors, parse_volume_path, volume
 from permgrid.operators import files as FL
 from permgrid.operators import importer as I
 from permgrid.operators import principals as P
+from permgrid.operators.authorise import action_allowed, effective_permission
 from permgrid.plans import entitlement as E
 from permgrid.plans.catalog import register
 from permgrid.plans.oracle import AS_OF
@@ -19,7 +19,7 @@ from permgrid.session import scratch_path
 from permgrid.sources import fixtures as fx
 from permgrid.sources import files as SF
 from permgrid.sources import tables as TB
-from permgrid.sources.store import volume_store
+from permgrid.sources.store import LAYOUT, volume_store
 
 VK = ", ".join(VOL_KEY)
 FK = VK + ", folder"
@@ -61,11 +61,23 @@ def q_parse_volume_path(spark, sf):
     return p.select("path", *parse_volume_path("path"))
 
 
-@register("selection_totals", f"""
-select {FK}, count(*) as n_files, cast(sum(coalesce(size, 0)) as bigint) as total_bytes
-from files group by all""")
+_SELECTED = f"""
+sel as (
+  select distinct r.request_id, s.name, f.name is not null as found, f.size
+  from (select distinct request_id, name from selections) s
+  join requests r on r.request_id = s.request_id and r.action = 'download'
+  left join files f on f.name = s.name and f.folder = r.folder
+    and f.workspace_id = r.workspace_id and f.uc_catalog = r.uc_catalog and f.uc_schema = r.uc_schema and f.volume = r.volume),
+tot as (
+  select request_id, count(*) as n_selected, count(*) filter (where found) as n_files,
+         count(*) filter (where not found) as n_missing, cast(coalesce(sum(size), 0) as bigint) as total_bytes
+  from sel group by request_id)"""
+
+
+@register("selection_totals", f"with {_SELECTED} select * from tot")
 def q_selection_totals(spark, sf):
-    return FL.folder_totals(fx.files(spark, sf))
+    r = fx.requests(spark, sf).where(F.col("action") == "download")
+    return FL.selection_totals(r, fx.selections(spark, sf), fx.files(spark, sf))
 
 
 _DL = """
@@ -76,26 +88,53 @@ from decisions d where d.action = 'download'"""
 
 
 @register("bundle_manifest", f"""
-with dl as ({_DL}),
-tot as (select {FK}, count(*) as n_files, sum(coalesce(size, 0)) as total_bytes from files group by all)
-select dl.request_id, dl.effective, dl.allowed, cast(coalesce(t.n_files, 0) as bigint) as n_files,
-       cast(coalesce(t.total_bytes, 0) as bigint) as total_bytes,
+with dl as ({_DL}), {_SELECTED}
+select dl.request_id, dl.effective, dl.allowed, coalesce(t.n_selected, 0) as n_selected, coalesce(t.n_files, 0) as n_files,
+       coalesce(t.n_missing, 0) as n_missing, coalesce(t.total_bytes, 0) as total_bytes,
        replace(trim(dl.folder, '/'), '/', '_') || '_' || strftime(date '{AS_OF[:10]}', '%Y%m%d') || '.zip'
            as bundle_name
-from dl left join tot t using ({FK})""")
+from dl left join tot t on t.request_id = dl.request_id""")
 def q_bundle_manifest(spark, sf):
     return FL.bundle_manifest(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf),
-                              fx.files(spark, sf), _bundle_day())
+                              fx.files(spark, sf), fx.selections(spark, sf), _bundle_day())
 
 
 @register("bundle_files", f"""
-with dl as ({_DL})
-select dl.request_id, '/Volumes/' || f.uc_catalog || '/' || f.uc_schema || '/' || f.volume || f.folder || f.name
-           as path, f.size
-from dl join files f using ({FK}) where dl.allowed""")
+with dl as ({_DL}), {_SELECTED}
+select dl.request_id, '/Volumes/' || dl.uc_catalog || '/' || dl.uc_schema || '/' || dl.volume || dl.folder || s.name
+           as path, cast(coalesce(s.size, 0) as bigint) as size, s.found
+from dl join sel s on s.request_id = dl.request_id where dl.allowed""")
 def q_bundle_files(spark, sf):
     return FL.bundle_files(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf),
-                           fx.files(spark, sf))
+                           fx.files(spark, sf), fx.selections(spark, sf))
+
+
+@register("gated_listing", f"""
+with entries as (
+  select {FK}, count(*) filter (where kind = 'dir') as n_dirs, count(*) filter (where kind = 'file') as n_files
+  from (
+    select {VK}, folder, 'file' as kind, name from files
+    union all
+    select distinct {VK}, substr(folder, 1, i) as folder, 'dir', split_part(substr(folder, i + 1), '/', 1)
+    from (select {VK}, folder, unnest(range(1, length(folder) + 1)) as i from folders)
+    where substr(folder, i, 1) = '/' and strpos(substr(folder, i + 1), '/') > 0)
+  group by all)
+select d.request_id, d.effective,
+       case when d.effective = 'DENIED' then 0 else coalesce(e.n_dirs, 0) end as n_dirs,
+       case when d.effective = 'DENIED' then 0 else coalesce(e.n_files, 0) end as n_files
+from (select * from decisions where action = 'browse') d left join entries e using ({FK})""")
+def q_gated_listing(spark, sf):
+    """What each browse request is shown: nothing unless the caller may read the folder."""
+    return FL.gated_listing_totals(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf), fx.files(spark, sf))
+
+
+@register("bounded_up", """
+select distinct c.request_id, substr(c.folder, 1, u.i) as ancestor
+from covering c, unnest(range(1, length(c.folder))) u(i)
+where substr(c.folder, u.i, 1) = '/'
+  and (coalesce(c.scope, '') = 'VOLUME' or (c.scope = 'FOLDER_TREE' and starts_with(substr(c.folder, 1, u.i), c.folder_path)))""")
+def q_bounded_up(spark, sf):
+    return FL.reachable_ancestors(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf))
 
 
 # --- directory payloads ---------------------------------------------------------
@@ -106,109 +145,150 @@ select 'user_' || cast(c_custkey as varchar) || '_x' as user_id, 'nat-' || cast(
 from customer where c_custkey % 97 <> 0
 union all
 select 'user_' || cast(c_custkey as varchar) || '_x', 'seg-' || lower(c_mktsegment), 2
-from customer where c_custkey % 97 <> 0"""
+from customer where c_custkey % 97 <> 0
+union all
+select 'user_' || cast(c_custkey as varchar) || '_x', 'team-' || i, 2 + i
+from customer, range(1, 601) t(i) where c_custkey % 97 <> 0 and c_custkey % 1000 = 7"""
 
 
-@register("scan_memberships", _MEMBERSHIP_SQL)
+@register("scan_memberships", "select user_id, group_name, cast(position as integer) as position from (" + _MEMBERSHIP_SQL + ")")
 def q_scan_memberships(spark, sf):
     return P.scan_memberships(fx.payloads(spark, sf)).withColumn("position", F.col("position").cast("int"))
 
 
-@register("group_dedup_cap", """
-select 'user_' || cast(c_custkey as varchar) || '_x' as user_id,
-       case when c_custkey % 97 = 0 then '' else 'nat-' || cast(c_nationkey as varchar) || ',seg-' || lower(c_mktsegment)
-       end as group_list,
-       case when c_custkey % 97 = 0 then 0 else 2 end as n_groups
-from customer""")
+@register("group_dedup_cap", f"""
+select c.user_id, coalesce(string_agg(m.group_name, ',' order by m.position), '') as group_list,
+       cast(count(m.group_name) as integer) as n_groups,
+       cast(greatest(count(m.group_name) - 500, 0) as integer) as beyond_500
+from (select 'user_' || cast(c_custkey as varchar) || '_x' as user_id from customer) c
+left join ({_MEMBERSHIP_SQL}) m using (user_id) group by c.user_id""")
 def q_group_dedup_cap(spark, sf):
     g = P.group_names()
-    return fx.payloads(spark, sf).select("user_id", F.array_join(g, ",").alias("group_list"),
-                                         F.size(g).alias("n_groups"))
+    return fx.payloads(spark, sf).select("user_id", F.array_join(g, ",").alias("group_list"), F.size(g).alias("n_groups"),
+                                         P.names_beyond(500).cast("int").alias("beyond_500"))
+
 
+# --- files on storage -----------------------------------------------------------
 
-# --- files on storage (rows-only) ----------------------------------------------
+# the store of ``sources.store``, restated: which folder a lineitem row is filed under
+_STORE = """
+store as (
+  select 'ws' || (l_orderkey % 27) as workspace_id, 'cat' || (l_orderkey % 2) as uc_catalog, 'sch' || (l_orderkey % 3) as uc_schema,
+         'vol' || (l_orderkey % 4) as volume,
+         case when l_orderkey % 2 = 1 then '/' else '/y' || year(l_shipdate) || '/' end as folder,
+         l_orderkey, l_linenumber, l_partkey, l_returnflag, strftime(l_shipdate, '%Y-%m-%d') as l_shipdate
+  from lineitem)"""
+_HEADER = "l_orderkey,l_linenumber,l_partkey,l_quantity,l_extendedprice,l_returnflag,l_shipdate"
 
-@register("inventory_scan")
+
+def _lines(spark, sf):
+    return SF.read_lines(spark, volume_store(spark, sf), LAYOUT)
+
+
+@register("inventory_scan", f"""
+with {_STORE} select distinct {FK}, true as has_files from store""")
 def q_inventory_scan(spark, sf):
-    return SF.inventory_from_store(SF.list_files(spark, volume_store(spark, sf), "*.csv"))
+    """Folders that hold files, from a listing (how many part files a folder has is up to the writer)."""
+    inv = SF.inventory_from_store(SF.list_files(spark, volume_store(spark, sf), "*.csv"))
+    return inv.groupBy(*VOL_KEY, "folder").agg((F.count_if(F.col("size") > 0) > 0).alias("has_files"))
 
 
-@register("content_source")
+@register("content_source", f"""
+with {_STORE} select {FK}, count(*) as n_rows, 6 * count(*) as n_commas from store group by all""")
 def q_content_source(spark, sf):
-    c = SF.read_contents(spark, volume_store(spark, sf), "*.csv")
-    return c.select("path", "size", "bytes_read", "cut", F.length("text").alias("n_chars"))
+    """Whole contents, read in splits: data lines and commas per folder."""
+    data = _lines(spark, sf).where(F.col("line") != _HEADER)
+    return data.groupBy(*VOL_KEY, "folder").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                F.sum(F.regexp_count("line", F.lit(","))).cast("bigint").alias("n_commas"))
 
 
-@register("byte_limit")
+@register("byte_limit", f"""
+with {_STORE} select distinct {FK}, '{_HEADER[:40]}' as head, true as cut from store""")
 def q_byte_limit(spark, sf):
-    c = SF.read_contents(spark, volume_store(spark, sf), "*.csv")
-    return c.select("path", "size", "bytes_read")
+    """The first 40 bytes of every file, and that more were left out."""
+    heads = SF.read_heads(spark, volume_store(spark, sf), 40, "*.csv")
+    return SF.inventory_from_store(heads.withColumn("modified", F.lit(None))).drop("modified", "size").join(
+        heads, "path").select(*VOL_KEY, "folder", F.col("text").alias("head"), (F.col("bytes_left") > 0).alias("cut")).distinct()
 
 
-@register("preview_rows")
+@register("preview_rows", f"""
+with {_STORE}
+select {FK}, cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber,
+       cast(l_partkey as varchar) as l_partkey, l_returnflag, l_shipdate from store""")
 def q_preview_rows(spark, sf):
-    p = FL.preview(SF.read_contents(spark, volume_store(spark, sf), "*.csv"))
-    return p.select("path", F.size("headers").alias("n_headers"), F.size("rows").alias("rows_shown"),
-                    "n_data_rows", "truncated")
+    """Every preview row of every file, as cells."""
+    p = FL.preview(_lines(spark, sf)).where(F.col("row_no") > 0)
+    return p.select(*VOL_KEY, "folder", *(F.get("cells", i).alias(c) for i, c in enumerate(_HEADER.split(","))
+                                          if c not in ("l_quantity", "l_extendedprice")))
 
 
-@register("preview_batch")
+@register("preview_batch", f"""
+with {_STORE},
+per as (select {FK}, count(*) as n_rows, 7 * count(*) as n_cells, sum(l_partkey) as part_sum from store group by all)
+select d.request_id, p.n_rows, p.n_cells, cast(p.part_sum as bigint) as part_sum
+from (select * from decisions where action = 'preview' and effective <> 'DENIED') d join per p using ({FK})""")
 def q_preview_batch(spark, sf):
-    """Previews of every stored file in a folder that at least one user can read."""
-    root = volume_store(spark, sf)
-    inv = SF.inventory_from_store(SF.list_files(spark, root, "*.csv"))
-    readable = E.principal_folder_ranks(E.inventory_folders(inv), fx.grants(spark, sf)) \
-        .select(*VOL_KEY, "folder").distinct()
-    paths = inv.join(readable, [*VOL_KEY, "folder"], "left_semi").select("path")
-    c = SF.read_contents(spark, root, "*.csv").join(paths, "path", "left_semi")
-    p = FL.preview(c)
-    return p.select("path", F.array_join("headers", ",").alias("headers"),
-                    F.array_join(F.get("rows", 0), ",").alias("first_row"),
-                    F.size("rows").alias("rows_shown"), "truncated")
-
-
-@register("csv_source")
+    """Gated previews, totalled per permitted request over the rows of its folder's files."""
+    r = fx.requests(spark, sf)
+    d = effective_permission(r.where(F.col("action") == "preview"), fx.memberships(spark, sf), fx.grants(spark, sf))
+    ok = d.where(action_allowed()).select("request_id", *VOL_KEY, "folder")
+    shown = _lines(spark, sf).join(ok.select(*VOL_KEY, "folder").distinct(), [*VOL_KEY, "folder"], "left_semi")
+    rows = FL.preview(shown).where(F.col("row_no") > 0)
+    per = rows.groupBy(*VOL_KEY, "folder").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("cells")).cast("bigint").alias("n_cells"),
+                                               F.sum(F.get("cells", 2).cast("bigint")).alias("part_sum"))
+    return ok.join(per, [*VOL_KEY, "folder"]).select("request_id", "n_rows", "n_cells", "part_sum")
+
+
+_CSV_COLUMNS = ("email", "display_name", "workspace_id", "uc_catalog", "uc_schema", "volume", "folder_path", "permission", "scope",
+                "principal_type", "principal_id")
+
+
+@register("csv_source", "select row_no as line, " + ", ".join(f"nullif({c}, '') as {c}" for c in _CSV_COLUMNS) + " from import_rows")
 def q_csv_source(spark, sf):
-    """Write the import rows as an uploaded CSV file, then read it back as text."""
+    """Write the import rows as CSV files in parallel, then read them back as text in splits.
+    The rows' own number shows that every line came back whole."""
     path = scratch_path(spark, "upload") + ".csv"
-    raw = fx.import_rows(spark, sf).drop("row_no")
-    raw.coalesce(1).write.option("header", True).csv(path)
-    return I.read_import_csv(spark, path)
+    raw = fx.import_rows(spark, sf).withColumnRenamed("row_no", "line")
+    raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    back = I.read_import_csv(spark, path).drop("row_no")
+    return back.select(F.col("line").cast("bigint").alias("line"), *(F.nullif(F.col(c), F.lit("")).alias(c) for c in _CSV_COLUMNS))
 
 
-@register("create_tables")
+@register("create_tables", """
+select 'download_workspaces' as table_name, (select count(*) from workspaces) as n_rows
+union all select 'download_user', (select count(*) from users)
+union all select 'download_permissions', (select count(*) from grants)""")
 def q_create_tables(spark, sf):
-    """Create the three tables at a fresh location, append the fixtures by
-    name, and report the row count of each table."""
+    """Create the three tables (twice, it is idempotent), fill them by name, and report their
+    row counts; the database goes again, the files stay below the scratch folder."""
     db = "permgrid_" + uuid.uuid4().hex[:8]
     loc = scratch_path(spark, "tables")
-    TB.create_tables(spark, db, loc)
-    TB.append_rows(TB.conform(fx.workspaces(spark, sf), TB.WORKSPACES), os.path.join(loc, "download_workspaces"))
-    TB.append_rows(TB.conform(fx.users(spark, sf), TB.USERS), os.path.join(loc, "download_user"))
-    TB.append_rows(TB.conform(fx.grants(spark, sf), GRANTS), os.path.join(loc, "download_permissions"))
-    parts = [spark.table(f"{db}.{t}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
-             for t in TB.TABLES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for _ in range(2):
+        TB.create_tables(spark, db, loc)
+    for name, rows in (("download_workspaces", fx.workspaces(spark, sf)), ("download_user", fx.users(spark, sf)),
+                       ("download_permissions", fx.grants(spark, sf))):
+        TB.conform(rows, TB.TABLES[name]).write.mode("append").format("parquet").saveAsTable(f"{db}.{name}")
+    counts = [(t, spark.table(f"{db}.{t}").count()) for t in TB.TABLES]
+    spark.sql(f"DROP DATABASE `{db}` CASCADE")
+    return spark.createDataFrame(counts, "table_name string, n_rows bigint")
 
 
 @register("snapshot_sink", """
 select * from grants g where not exists (
-  select 1 from changes_n c where c.principal_type = g.principal_type and c.principal_id = g.principal_id
+  select 1 from bulk_ok c where c.principal_type = g.principal_type and c.principal_id = g.principal_id
     and c.workspace_id = g.workspace_id and c.uc_catalog = g.uc_catalog and c.uc_schema = g.uc_schema
     and c.volume = g.volume and c.folder_path = g.folder_path)
 union all
 select principal_type, principal_id, workspace_id, uc_catalog, uc_schema, volume, folder_path, permission,
        'user_0_x', timestamp '""" + AS_OF + """', 'FOLDER'
-from changes_n where coalesce(permission <> '', false)""")
+from bulk_ok where coalesce(permission <> '', false)""")
 def q_snapshot_sink(spark, sf):
     """Version 1 = current grants, version 2 = after a bulk change; read latest."""
-    from permgrid.operators.changes import bulk_change
+    from permgrid.operators.changes import accepted_changes, bulk_change
     root = scratch_path(spark, "grants_snapshots")
     g = TB.conform(fx.grants(spark, sf), GRANTS)
     TB.write_snapshot(g, root, spark)
     v1 = TB.read_latest(spark, root, GRANTS)
-    TB.write_snapshot(bulk_change(v1, fx.changes(spark, sf), "user_0_x", AS_OF), root, spark)
+    ok = accepted_changes(fx.changes(spark, sf))
+    TB.write_snapshot(bulk_change(v1, ok, "user_0_x", AS_OF)[0], root, spark)
     return TB.read_latest(spark, root, GRANTS)

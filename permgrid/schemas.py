@@ -1,6 +1,6 @@
 """Declared schemas, key tuples and value domains.
 
-Schemas are always given explicitly; nothing is inferred.
+Stored tables are read with these schemas; base tables carry theirs in Parquet footers.
 """
 
 from __future__ import annotations
@@ -16,23 +16,12 @@ PERMISSIONS = ("READ", "DOWNLOAD")
 SCOPES = ("VOLUME", "FOLDER_TREE", "FOLDER")
 # Principal types; an empty type defaults to USER.
 PRINCIPAL_TYPES = ("USER", "GROUP")
-# Request actions: listing and preview need any covering grant, download needs DOWNLOAD.
-ACTIONS = ("browse", "preview", "download")
-# Group names kept per user (the first ones, after de-duplication).
-MAX_GROUPS_PER_USER = 500
 # Lifetime of a minted session (its cached group list), seconds.
 TOKEN_TTL_SECONDS = 600
-# Bytes of a file read for a preview, and data rows shown.
-PREVIEW_BYTES = 1_048_576
-PREVIEW_ROWS = 200
-# Whitespace removed by a Python/JS-style strip().
-STRIP_CHARS = " \t\n\r\f\v"
 # Path prefix of a volume file: /Volumes/<catalog>/<schema>/<volume><folder><file>
 VOLUME_ROOT = "/Volumes"
 # ---------------------------------------------------------------------------
 
-DECIDED = ("DOWNLOAD", "READ", "DENIED")
-
 VOL_KEY = ["workspace_id", "uc_catalog", "uc_schema", "volume"]
 GRANT_KEY = ["principal_type", "principal_id"] + VOL_KEY + ["folder_path"]
 
@@ -57,26 +46,12 @@ USERS = T.StructType([
     T.StructField("sso_email", S),
     T.StructField("is_admin", T.BooleanType()),
 ])
-USER_COLUMNS = [f.name for f in USERS.fields]
 
 WORKSPACES = T.StructType([
     T.StructField("workspace_id", S),
     T.StructField("display_name", S),
     T.StructField("host_url", S),
 ])
-WORKSPACE_COLUMNS = [f.name for f in WORKSPACES.fields]
-
-# File inventory: one row per file.
-INVENTORY = T.StructType([
-    T.StructField("workspace_id", S),
-    T.StructField("uc_catalog", S),
-    T.StructField("uc_schema", S),
-    T.StructField("volume", S),
-    T.StructField("folder", S),
-    T.StructField("name", S),
-    T.StructField("size", T.LongType()),
-    T.StructField("modified", T.TimestampNTZType()),
-])
 
 # Uploaded CSV: every column is text; optional columns may be missing.
 CSV_REQUIRED = ["email", "display_name", "workspace_id", "uc_catalog", "uc_schema",

@@ -27,18 +27,7 @@ WORKSPACE_IDS = 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return rebalance_small_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-def rebalance_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    One Parquet row group is one split, so a small single-row-group file would
-    run everything up to the first shuffle in one task.  Large inputs have many
-    splits and are returned unchanged (no extra shuffle at scale).
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _s(c: Column | str) -> Column:
@@ -57,7 +46,17 @@ def _vol_cols(k: Column) -> list[Column]:
     return [F.concat(F.lit("ws"), _s(k % WORKSPACE_IDS)).alias("workspace_id"),
             F.concat(F.lit("cat"), _s(k % 2)).alias("uc_catalog"),
             F.concat(F.lit("sch"), _s(k % 3)).alias("uc_schema"),
-            F.concat(F.lit("vol"), _s(k % 4)).alias("volume")]
+            F.concat(F.lit("vol"), _s(_vol_number(k))).alias("volume")]
+
+
+def _vol_number(k: Column) -> Column:
+    """Two thirds of all rows name one of four hot volumes, the others one of a thousand."""
+    return F.when(k % 3 != 1, k % 4).otherwise(F.lit(4) + F.floor(k / 32) % 1000)
+
+
+def _grantee(k: Column) -> Column:
+    """Every other order names one of the 150 busiest customers, the rest its own."""
+    return F.when(k % 2 == 0, F.col("o_custkey") % 150).otherwise(F.col("o_custkey"))
 
 
 def _mm(ts: Column) -> Column:
@@ -73,7 +72,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 7 != 3)  # the others have no group
     nat = c.select(_uid("c_custkey").alias("user_id"),
                    F.concat(F.lit("nat-"), _s("c_nationkey")).alias("group_name"))
     seg = c.select(_uid("c_custkey").alias("user_id"),
@@ -94,15 +93,15 @@ def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     j = o.join(c, o.o_custkey == c.c_custkey)
     k = F.col("o_orderkey")
-    is_group = (k % 18) < 6
+    is_group = ((k % 18) < 6) | (F.col("o_custkey") % 49 == 3)
     year = _s(F.year("o_orderdate"))
     vol = _vol_cols(k)
     ws_group = F.concat(F.lit("ws"), _s((F.col("c_nationkey") + k % 4) % WORKSPACE_IDS))
     return j.select(
         F.when(is_group, F.lit("GROUP")).otherwise(F.lit("USER")).alias("principal_type"),
         F.when(is_group, F.concat(F.lit("nat-"), _s("c_nationkey")))
-         .when(k % 13 == 0, _email(F.col("o_custkey") % 150))
-         .otherwise(_uid(F.col("o_custkey") % 150)).alias("principal_id"),
+         .when(k % 13 == 0, _email(_grantee(k)))
+         .otherwise(_uid(_grantee(k))).alias("principal_id"),
         F.when(is_group, ws_group).otherwise(vol[0]).alias("workspace_id"),
         vol[1], vol[2], vol[3],
         F.when(k % 7 == 0, F.lit("/"))
@@ -110,11 +109,11 @@ def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k % 7 == 6, F.concat(F.lit("/y"), F.substr(year, F.lit(1), F.lit(3))))
          .otherwise(F.concat(F.lit("/y"), year, F.lit("/m"), _mm(F.col("o_orderdate")), F.lit("/")))
          .alias("folder_path"),
-        F.when(F.col("o_orderstatus") == "F", F.lit("DOWNLOAD")).otherwise(F.lit("READ"))
-         .alias("permission"),
+        F.when(k % 97 == 0, F.lit("WRITE")).when(F.col("o_orderstatus") == "F", F.lit("DOWNLOAD"))
+         .otherwise(F.lit("READ")).alias("permission"),
         F.when(k % 11 == 0, F.lit("bootstrap")).otherwise(F.lit("user_0_x")).alias("granted_by"),
         F.col("o_orderdate").alias("granted_at"),
-        F.when(k % 7 == 0, F.lit("VOLUME"))
+        F.when(k % 89 == 0, F.lit("SUBTREE")).when(k % 7 == 0, F.lit("VOLUME"))
          .when((k % 7).isin(1, 2, 6), F.lit("FOLDER_TREE"))
          .when((k % 7).isin(3, 4), F.lit("FOLDER")).alias("scope"),
     )
@@ -146,7 +145,7 @@ def requests_from_events(events: DataFrame) -> DataFrame:
     k = F.col("event_id")
     year = _s(F.lit(1995) + k % 7)
     return e.select(
-        k.alias("request_id"), "ts", _uid("user_id").alias("user_id"), *_vol_cols(k),
+        k.alias("request_id"), "ts", F.when(k % 211 != 0, _uid("user_id")).alias("user_id"), *_vol_cols(k),
         F.when(k % 5 == 0, F.concat(F.lit("/y"), year, F.lit("/")))
          .otherwise(F.concat(F.lit("/y"), year, F.lit("/m"),
                              F.lpad(_s(F.lit(1) + k % 12), 2, "0"), F.lit("/"))).alias("folder"),
@@ -158,31 +157,38 @@ def requests_from_events(events: DataFrame) -> DataFrame:
 
 def mints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
-    return e.select(_uid("user_id").alias("user_id"), F.col("ts").alias("minted_at"),
+    return e.select(F.when(F.col("event_id") % 211 != 0, _uid("user_id")).alias("user_id"), F.col("ts").alias("minted_at"),
                     F.col("event_id").alias("mint_id"))
 
 
 def removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each error event stands for removing the user from a directory group."""
     e = table(spark, sf_dir, "events").where(F.col("event_type") == "error")
-    return e.select(_uid("user_id").alias("user_id"), F.col("ts").alias("removed_at"),
+    return e.select(F.when(F.col("event_id") % 211 != 0, _uid("user_id")).alias("user_id"), F.col("ts").alias("removed_at"),
                     F.col("event_id").alias("removal_id"))
 
 
 def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An uploaded grants CSV, as text, one row per order, in order-key order."""
+    """An uploaded grants CSV, as text, one row per order, in order-key order.
+
+    New e-mails collide: with each other (one local part at several domains), with
+    the ids of existing users, and with suffixed ids of other new e-mails.
+    """
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    cust = _s(F.col("o_custkey") % 150)
+    cust, house = _s("o_custkey"), _s(F.floor(F.col("o_custkey") / 8))
+    other = F.concat(F.lit("@d"), _s(F.floor(k / 30) % 4), F.lit(".example.com"))
+    email = (F.when(k % 30 == 0, F.concat(F.lit("new."), house, other))
+             .when(k % 30 == 10, F.concat(F.lit("user."), house, F.lit("-x"), other))
+             .when(k % 30 == 20, F.concat(F.lit("user."), house, F.lit("-x-"), _s(F.lit(1) + k % 3), other))
+             .otherwise(_email(F.col("o_custkey"))))
     vol = _vol_cols(k)
     return o.select(
         k.alias("row_no"),
-        F.when(k % 70 == 0, F.lit(""))
-         .otherwise(F.concat(F.lit(" "), F.when(k % 30 == 0, F.lit("new.")).otherwise(F.lit("user.")),
-                             cust, F.lit("-x@example.com "))).alias("email"),
+        F.when(k % 70 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), email, F.lit(" "))).alias("email"),
         F.concat(F.lit("Imported "), cust).alias("display_name"),
         vol[0], vol[1], vol[2],
-        F.when(k % 110 == 0, F.lit(" ")).otherwise(F.concat(F.lit("vol"), _s(k % 4))).alias("volume"),
+        F.when(k % 110 == 0, F.lit(" ")).otherwise(F.concat(F.lit("vol"), _s(_vol_number(k)))).alias("volume"),
         F.concat(F.lit("/y"), _s(F.year("o_orderdate")), F.lit("/")).alias("folder_path"),
         F.when(F.col("o_orderstatus") == "F", F.lit(" download")).otherwise(F.lit("Read "))
          .alias("permission"),
@@ -197,7 +203,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity-directory answers per user: JSON ``{"groups":[{"display":..}]}``.
 
     Every 5th user lists the nation group twice; every 11th has an entry with
-    an empty name; every 97th answer is not valid JSON.
+    an empty name; every 97th answer is not valid JSON; every 1000th user is in
+    600 more groups.
     """
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -210,6 +217,9 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(seg.alias("display"))),
         F.when(k % 5 == 0, F.array(F.struct(nat.alias("display"))))
          .otherwise(F.array().cast("array<struct<display:string>>")),
+        F.when(k % 1000 == 7, F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.struct(
+            F.concat(F.lit("team-"), _s(i)).alias("display"))))
+         .otherwise(F.array().cast("array<struct<display:string>>")),
     )
     body = F.to_json(F.struct(entries.alias("groups")))
     return c.select(_uid(k).alias("user_id"),
@@ -237,11 +247,13 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws_group = F.concat(F.lit("ws"), _s((F.col("c_nationkey") + k % 4) % WORKSPACE_IDS))
     return j.select(
         k.alias("seq"),
-        F.when(is_group, F.when(k % 4 == 0, F.lit("group")).otherwise(F.lit("GROUP")))
+        F.when(k % 101 == 0, F.lit("robot"))
+         .when(is_group, F.when(k % 4 == 0, F.lit("group")).otherwise(F.lit("GROUP")))
          .when(k % 9 == 0, F.lit("")).otherwise(F.lit("USER")).alias("principal_type"),
-        F.when(is_group, F.concat(F.lit("nat-"), _s("c_nationkey")))
-         .when(k % 13 == 0, _email(F.col("o_custkey") % 150))
-         .otherwise(_uid(F.col("o_custkey") % 150)).alias("principal_id"),
+        F.when(k % 103 == 0, F.lit("o'neil")).when(k % 107 == 0, F.lit(" "))
+         .when(is_group, F.concat(F.lit("nat-"), _s("c_nationkey")))
+         .when(k % 13 == 0, _email(_grantee(k)))
+         .otherwise(_uid(_grantee(k))).alias("principal_id"),
         F.when(is_group, ws_group).otherwise(vol[0]).alias("workspace_id"),
         vol[1], vol[2], vol[3],
         F.concat(F.lit("/y"), _s(F.year("o_orderdate")), F.lit("/")).alias("folder_path"),
@@ -277,10 +289,22 @@ def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admin_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admins to seed, one per nation: even nations name existing users."""
+    """Admins to seed, one per nation: even nations name existing users, some
+    e-mails and names are padded or blank."""
     n = table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
     return n.select(
-        F.when(k % 2 == 0, _email(k)).otherwise(
-            F.concat(F.lit("admin."), _s("n_regionkey"), F.lit("@example.com"))).alias("email"),
-        F.col("n_name").alias("name"))
+        F.when(k % 8 == 5, F.lit("  ")).when(k % 2 == 0, F.concat(F.lit(" "), _email(k))).otherwise(
+            F.concat(F.lit("admin."), _s("n_regionkey"), F.lit("@example.com "))).alias("email"),
+        F.when(k % 5 == 1, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.col("n_name"))).alias("name"))
+
+
+def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named by each download request: the files of one order, of which only
+    those in the request's own folder exist there, and a name that no folder has."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    r = e.select(F.col("event_id").alias("request_id"), F.col("event_id").alias("o"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.concat(
+        F.lit("f_"), _s("l_orderkey"), F.lit("_"), _s("l_linenumber"), F.lit("_"), _s("l_partkey"), F.lit(".csv")).alias("name"))
+    named = r.join(li, "o").select("request_id", "name")
+    return named.unionByName(r.select("request_id", F.lit("none.csv").alias("name")))

@@ -94,15 +94,13 @@ def _ddl(schema: T.StructType) -> str:
 
 def create_tables(spark: SparkSession, database: str, location: str) -> list[str]:
     """Idempotent: the database and the three tables at ``<location>/<table>``.
-    Required parameters are checked first, like the setup job."""
-    for name, val in (("database", database), ("location", location)):
-        if not val or not str(val).strip():
-            raise ValueError(f"Missing required parameter: {name}")
+    A blank database name or location is an error before anything is made."""
+    blank = [what for what, given in {"database": database, "location": location}.items() if not (given or "").strip()]
+    if blank:
+        raise ValueError("create_tables needs a value for " + " and ".join(blank))
     location = location.rstrip("/")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{location}/_db'")
-    made = []
     for table, schema in TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{table}` ({_ddl(schema)}) "
                   f"USING parquet LOCATION '{location}/{table}'")
-        made.append(f"{database}.{table}")
-    return made
+    return [f"{database}.{table}" for table in TABLES]

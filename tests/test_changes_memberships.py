@@ -78,7 +78,7 @@ def test_expand_to_users_splits_exactly(spark):
                                  ("USER", "u1", "/u/"), ("GROUP", "none", "/n/")],
                                  "principal_type string, principal_id string, folder string")
     plain = rows.join(principals, ["principal_type", "principal_id"])
-    split = expand_to_users(rows, principals, members_per_task=7, max_buckets=16)
+    split = expand_to_users(rows, principals, rows_per_task=7)
     assert split.count() == 7 * 300 + 3 + 1
     assert plain.exceptAll(split.select(*plain.columns)).count() == 0
     assert split.select(*plain.columns).exceptAll(plain).count() == 0

@@ -5,11 +5,12 @@ and no plan contains a nested-loop or cartesian join."""
 import pytest
 
 import __spark_entry__ as E
+from permgrid.plans.catalog import all_oracles, all_queries
 from tools.oracle_check import digest, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = all_queries()
+ORACLE = all_oracles()
 
 
 @pytest.fixture(scope="module")

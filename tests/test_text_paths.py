@@ -1,6 +1,7 @@
 """Literal cases for the string and path expressions."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -17,10 +18,10 @@ def ts_parse_csv(content):
     ws = JS_SPACE
     lines = [ln for ln in content.strip(ws).split("\n") if ln.strip(ws)]
     if not lines:
-        return [], [], False
+        return [], []
     parse = lambda ln: [re.sub(r'^"|"$', "", c.strip(ws)) for c in ln.split(",")]
     rows = [parse(ln) for ln in lines[1:]]
-    return parse(lines[0]), rows[:200], len(rows) > 200
+    return parse(lines[0]), rows
 
 
 def test_py_strip(spark):
@@ -40,14 +41,35 @@ def test_csv_preview_cases(spark):
         "200": "h\n" + "\n".join(str(i) for i in range(200)),
         "201": "h\n" + "\n".join(str(i) for i in range(201)),
     }
-    df = spark.createDataFrame(list(texts.items()), "path string, text string")
-    got = {r.path: r for r in preview(df).collect()}
+    lines = [(name, 0, i, ln) for name, text in texts.items() for i, ln in enumerate(text.split("\n"))]
+    df = spark.createDataFrame(lines, "path string, split long, pos long, line string")
+    got, capped = {}, {}
+    for r in preview(df).collect():
+        got.setdefault(r.path, {})[r.row_no] = list(r.cells)
+    for r in preview(df, max_rows=200).collect():
+        capped.setdefault(r.path, []).append(r)
     for name, text in texts.items():
-        h, rows, trunc = ts_parse_csv(text)
-        r = got[name]
-        assert list(r.headers) == h, name
-        assert [list(x) for x in r.rows] == rows, name
-        assert r.truncated == trunc, name
+        h, rows = ts_parse_csv(text)
+        have = [got.get(name, {})[i] for i in range(len(got.get(name, {})))]
+        assert have == ([h] + rows if h else []), name
+        assert len(capped.get(name, [])) == len(have[:201]), name
+        assert all(r.rows_left == max(len(rows) - 200, 0) for r in capped.get(name, [])), name
+
+
+def test_lines_of_files_keep_their_order_over_splits(spark, tmpdir_path):
+    from permgrid.sources.files import number_lines, read_lines
+    want = [f"line {i}" for i in range(4000)]
+    os.makedirs(os.path.join(tmpdir_path, "folder=x"))
+    with open(os.path.join(tmpdir_path, "folder=x", "a.txt"), "w") as f:
+        f.write("\n".join(want))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = read_lines(spark, tmpdir_path, ["folder"])
+        assert lines.rdd.getNumPartitions() > 1
+        got = sorted((r.line_no, r.line, r.folder) for r in number_lines(lines).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i, ln, "x") for i, ln in enumerate(want)]
 
 
 def test_utf8_lossy_and_byte_limit(spark):
