@@ -39,7 +39,6 @@ from permgrid.llm.wordhash import WordHasher, mix, space_separators
 
 NUM, DEN = 80, 100
 SEEDS = 6
-SKETCH_WORDS = 32
 
 
 def bands(limit: int = 1 << 40) -> list[int]:
@@ -113,12 +112,28 @@ class Signer:
         return ((mix(h) & ~np.uint64(0xFF)) | np.uint64(j)).view(np.int64)
 
 
-def sketch(u) -> bytes:
-    """Parity of the number of elements in each of 2048 cells, as 32 longs."""
-    odd = (np.bincount((u >> np.uint64(20)).astype(np.int64) & 2047, minlength=2048) & 1).astype(np.uint8)
+def sketch(u):
+    """Parity of the number of elements in each of at least 2 * len(u) cells, packed in longs."""
+    cells = 1 << max(11, (2 * len(u) - 1).bit_length())
+    odd = (np.bincount((u >> np.uint64(16)).astype(np.int64) & (cells - 1), minlength=cells) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def parity_gap(x, y) -> int:
+    """Cells that differ between two sketches; never more than the sets differ."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def folded(sk, other):
+    """A sketch at the resolution of ``other``: halves of the finer one fold onto each other."""
+    half = f"size({other})"
+    return (f"if(size({sk}) > {half}, zip_with(slice({sk}, 1, {half}), slice({sk}, {half} + 1, {half}), (p, q) -> p ^ q), {sk})")
+
+
 def _copy_key(u):
     return int(u.sum(dtype=np.uint64).view(np.int64)), int(mix(u).sum(dtype=np.uint64).view(np.int64))
 
@@ -257,7 +272,7 @@ def _compare_blocks(words, num, den):
         hasher = WordHasher(space_separators())
         sets = list(hasher.shingles(pa.array(pdf.text, pa.string()), words))
         size = np.array([len(u) for u in sets])
-        par = np.stack([np.frombuffer(np.ascontiguousarray(sketch(u)).tobytes(), np.uint64) for u in sets])
+        par = [sketch(u).view(np.uint64) for u in sets]
         docs, side, root = pdf.doc.to_numpy(), pdf.side.to_numpy(), pdf.root.to_numpy()
         names = {}
         up = np.array([names.setdefault(r, len(names)) for r in root])
@@ -276,10 +291,9 @@ def _compare_blocks(words, num, den):
             both = size[other] + size[x]
             ok = (np.minimum(size[other], size[x]) * den >= np.maximum(size[other], size[x]) * num) & (size[x] > 0)
             other, both = other[ok], both[ok]
-            far = np.bitwise_count(par[other] ^ par[x]).sum(1, dtype=np.int64)
-            for y in other[far * (den + num) <= both * (den - num)]:
+            for y, total in zip(other.tolist(), both.tolist()):
                 p, q = find(up[x]), find(up[y])
-                if p != q:
+                if p != q and parity_gap(par[x], par[y]) * (den + num) <= total * (den - num):
                     n = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                     if den * n >= num * (size[x] + size[y] - n):
                         parent[p] = q
@@ -317,10 +331,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Pairs that the parity sketches do not rule out."""
         x = one.select(*(F.col(c).alias("a" if c == "doc" else f"x_{c}") for c in one.columns))
         y = one.select(*(F.col(c).alias("b" if c == "doc" else f"y_{c}") for c in one.columns))
-        gap = "aggregate(zip_with(x_sk, y_sk, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+        gap = (f"aggregate(zip_with({folded('x_sk', 'y_sk')}, {folded('y_sk', 'x_sk')}, (p, q) -> bit_count(p ^ q)), "
+               "0, (s, v) -> s + v)")
         return (pairs.join(x, "a").join(y, "b")
                 .where("not (x_n = y_n and x_h1 = y_h1 and x_h2 = y_h2)")
                 .where(f"least(x_n, y_n) * {den} >= greatest(x_n, y_n) * {num}")
+                .where(f"greatest(size(x_sk), size(y_sk)) <= 2 * least(size(x_sk), size(y_sk))")
                 .where(f"{gap} * {den + num} <= (x_n + y_n) * {den - num}").select("a", "b"))
 
     def verified(pairs):
