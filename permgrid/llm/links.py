@@ -24,26 +24,30 @@ def bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable by ``edges`` (a, b), per node of an edge.
 
-    Alternates the large-star and small-star steps until the edges no longer change.
+    Alternates the large-star and small-star steps until the edges form stars.
     Every step is an aggregation with map-side partial minima and an equi-join, so a
     hub with very many neighbours is never gathered in one place.  Null ends and loops
     are ignored; an empty table gives an empty result.
     """
     e = saved(edges.where("a is not null and b is not null and a <> b")
               .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     for _ in range(max_rounds):
+        if _is_star_forest(e):
+            roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         m = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(m, "u")
-        e = saved(step.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                  .unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-            return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(roots)
-        before = now
+        e = saved(large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                  .unionByName(m.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError("components did not settle")
+
+
+def _is_star_forest(e: DataFrame) -> bool:
+    """True when every upper end has one lower end, which is no upper end itself."""
+    ends = (e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("low"), "v")
+            .unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("low"), F.lit(None).cast("long").alias("v"))))
+    odd = (ends.groupBy("x").agg(F.max("up").alias("up"), F.max("low").alias("low"), F.min("v").alias("p"), F.max("v").alias("q"))
+           .where("(up = 1 and low = 1) or p <> q"))
+    return odd.limit(1).count() == 0
