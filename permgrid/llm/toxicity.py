@@ -8,7 +8,7 @@ later model learns how far an earlier one can be trusted.
 
 Features are the presence of words and of their first four and five bytes, hashed to
 ``2**BITS`` cells; each model picks the ``n_features`` cells that tell its category apart
-best, within the documents it learns from.
+best, within the documents it learns from, and scales each by its log odds.
 
 Training uses a bounded sample of labelled rows, ``max_positive`` of each rare class and
 ``max_negative`` others, those with the lowest hash of their id.  All documents are scored.
@@ -95,7 +95,7 @@ def sigmoid(x):
 class LinearModel:
     """Logistic regression on the cells that tell the classes apart best, and extra inputs."""
 
-    def __init__(self, n_features=600, penalty=1e-3, rounds=80):
+    def __init__(self, n_features=600, penalty=1e-3, rounds=250):
         self.n_features, self.penalty, self.rounds = n_features, penalty, rounds
 
     def fit(self, docs, extra, y):
@@ -115,7 +115,10 @@ class LinearModel:
         # a cell that stands in few documents of the other class counts as strong evidence too
         order = np.argsort(-np.abs(apart), kind="stable")[:self.n_features]
         self.cells = np.sort(order[apart[order] != 0]).astype(np.int32)
-        x = np.concatenate([self.matrix(docs), extra.astype(np.float32)], 1)
+        # cells count by their log odds, so that one telling word outweighs many common ones
+        odds = np.log((on + 0.5) / (pos + 1)) - np.log((every - on + 0.5) / (n - pos + 1))
+        odds = odds[self.cells].astype(np.float32)
+        x = np.concatenate([self.matrix(docs) * odds, extra.astype(np.float32)], 1)
         y = y.astype(np.float32)
         w, v, t = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 1.0
         bias, bv = np.float32(self.bias), np.float32(self.bias)
@@ -129,7 +132,7 @@ class LinearModel:
             v, bv = w2 + m * (w2 - w), b2 + m * (b2 - bias)
             w, bias, t = w2, b2, t2
         k = len(self.cells)
-        self.weights, self.extra, self.bias = w[:k], w[k:], float(bias)
+        self.weights, self.extra, self.bias = w[:k] * odds, w[k:], float(bias)
         return self
 
     def matrix(self, docs):
@@ -225,7 +228,7 @@ def _score(shared, threshold):
     return run
 
 
-def score(docs: DataFrame, models, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, models, threshold: float = 0.45, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Probability of each category per document, and whether it is rejected as toxic."""
     small = [(m.cells, m.weights.astype(np.float32), m.extra, m.bias) for m in models]
     shared = docs.sparkSession.sparkContext.broadcast(small)  # n_features weights a category
@@ -238,7 +241,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels)).withColumnRenamed("doc", "doc_id")
 
 
-def drop_toxic(docs: DataFrame, training_docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, training_docs: DataFrame, labels: DataFrame, threshold: float = 0.45) -> DataFrame:
     """``docs`` without rejected ones; models learn from ``training_docs`` and ``labels``."""
     models = train(training_docs, labels)
     small = [(m.cells, m.weights.astype(np.float32), m.extra, m.bias) for m in models]
