@@ -15,7 +15,7 @@ Training uses a bounded sample of labelled rows, ``max_positive`` of each rare c
 Severe is no label of its own: a toxic document is severe when the share of its words that
 tell toxic documents apart is at least that of the median toxic document.
 
-Edge cases: a null or empty text has no features and gets the prior probabilities; without
+Edge cases: a null or empty text has no features, gets the models' base rates and is never rejected; without
 usable labels, or with labels of one class only, probabilities are that class's share;
 repeated rows and ids give a row each; labels of unknown documents and null labels are
 ignored; other columns are ignored, whatever their names.
@@ -223,7 +223,7 @@ def _score(shared, threshold):
                 z = np.array([w[d].sum() for d in docs]) + (p @ extra if p.shape[1] else 0.0) + bias
                 p = np.concatenate([p, sigmoid(z)[:, None]], 1)
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(p[:, i]) for i in range(p.shape[1])]
-                                             + [pa.array(p[:, 1] >= threshold)],
+                                             + [pa.array((p[:, 1] >= threshold) & np.array([len(d) > 0 for d in docs], bool))],
                                              names=["doc", *(f"p_{c}" for c in CATEGORIES), "rejected"])
     return run
 
