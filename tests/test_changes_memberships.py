@@ -2,8 +2,10 @@
 
 import json
 
-from permgrid.operators.changes import add_workspaces, bulk_change, delete_grants, update_grants
-from permgrid.operators.principals import scan_memberships
+import pytest
+
+from permgrid.operators.changes import RejectedChange, add_workspaces, bulk_change, delete_grants, seed_users, update_grants
+from permgrid.operators.principals import names_beyond, scan_memberships
 from permgrid.schemas import GRANTS, USERS, WORKSPACES
 
 KEY = ("USER", "u1", "w", "c", "s", "v", "/a/")
@@ -35,13 +37,36 @@ def test_bulk_and_delete(spark):
     g = _g(spark, [(*KEY, "READ", "x", None, "FOLDER"), ("USER", "u2", "w", "c", "s", "v", None, "READ", "x", None, None)])
     ch = _changes(spark, [(1, None, "u1", "w", "c", "s", "v", "/a/", None, None),
                           (2, "", "u2", "w", "c", "s", "v", None, "READ", None)])
-    nxt = bulk_change(g, ch, "admin").collect()
+    after, applied = bulk_change(g, ch, "admin")
+    nxt = after.collect()
+    assert applied.first()[0] == 2
     # the NULL-folder grant is not deleted (SQL equality), the NULL-folder change is inserted
     from collections import Counter
     assert Counter((r.principal_id, r.folder_path, r.scope) for r in nxt) == \
         Counter([("u2", None, "FOLDER"), ("u2", None, None)])
-    assert delete_grants(g, ch).count() == 1
-    assert bulk_change(g, ch.limit(0), "admin").count() == 2
+    kept, rejected = delete_grants(g, ch)
+    assert kept.count() == 1
+    assert [(r.seq, r.reason) for r in rejected.collect()] == [(2, "missing_field")]
+    after, applied = bulk_change(g, ch.limit(0), "admin")
+    assert after.count() == 2 and applied.first()[0] == 0
+
+
+def test_a_quote_fails_the_whole_bulk_change(spark):
+    g = _g(spark, [(*KEY, "READ", "x", None, "FOLDER")])
+    ch = _changes(spark, [(1, "USER", "u1", "w", "c", "s", "v", "/a/", None, None),
+                          (2, "USER", "o'neil", "w", "c", "s", "v", "/a/", "READ", None),
+                          (3, "robot", "u2", "w", "c", "s", "v", "/a/", "READ", None)])
+    with pytest.raises(RejectedChange):
+        bulk_change(g, ch, "admin")
+    _, rejected = delete_grants(g, ch)
+    assert sorted((r.seq, r.reason) for r in rejected.collect()) == [(2, "quote_in_principal"), (3, "bad_principal_type")]
+
+
+def test_seed_users_strips_and_skips_blank(spark):
+    users = spark.createDataFrame([("kid", "Kim", "kim@x.com", False)], USERS)
+    admins = spark.createDataFrame([(" kim@x.com ", "K"), ("  ", "Nobody"), ("a.b@x.com", " "), (None, "None")], "email string, name string")
+    rows = sorted((r.user_id, r.display_name, r.sso_email, r.is_admin) for r in seed_users(users, admins).collect())
+    assert rows == [("a_b", "a.b@x.com", "a.b@x.com", True), ("kid", "Kim", "kim@x.com", False)]
 
 
 def test_add_workspaces_first_wins(spark):
@@ -66,7 +91,10 @@ def test_group_payloads(spark):
         by.setdefault(r.user_id, []).append((r.position, r.group_name))
     assert "u1" not in by and "u2" not in by and "u5" not in by
     assert sorted(by["u3"]) == [(1, "b"), (2, "a")]
-    assert len(by["u4"]) == 500 and max(by["u4"])[1] == "g499"
+    assert len(by["u4"]) == 501 and max(by["u4"])[1] == "g500"  # no cap unless asked for
+    df = spark.createDataFrame([("u4", many)], "user_id string, payload string")
+    assert scan_memberships(df, cap=500).count() == 500
+    assert df.select(names_beyond(500)).first()[0] == 1
 
 
 def test_expand_to_users_splits_exactly(spark):
