@@ -25,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permgrid.llm.links import bounded, saved
-from permgrid.llm.wordhash import WordHasher, space_separators
+from permgrid.llm.links import bounded, saved, text_batches
+from permgrid.llm.wordhash import WordHasher, small_batches, space_separators
 
 NUM, DEN = 80, 100
 
@@ -55,7 +55,7 @@ def _search(shared, words, num, den):
         import pyarrow as pa
         items, sets, parts = shared.value
         hasher = WordHasher(space_separators())
-        for b in batches:
+        for b in small_batches(batches, 1):
             rows = []
             for doc, u in zip(b.column(0).to_pylist(), hasher.shingles(b.column(1), words, short_as_one=False)):
                 if doc is None or not len(u):
@@ -81,7 +81,7 @@ def _doc_sets(words, top):
     def run(batches):
         import pyarrow as pa
         hasher = WordHasher(space_separators())
-        for b in batches:
+        for b in small_batches(batches, 1):
             sets = list(hasher.shingles(b.column(1), words, short_as_one=False))
             lists = lambda x: pa.array([v.view(np.int64) for v in x], pa.list_(pa.int64()))
             small = [u[:np.searchsorted(u, np.uint64(top), "right")] for u in sets]
@@ -94,6 +94,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     item_col: str = "item_id", item_text_col: str = "text", words: int = 5, num: int = NUM, den: int = DEN,
                     max_shingles: int = 4_000_000) -> DataFrame:
     """(doc, item, q, n): documents that hold n of an item's q shingles, den * n >= num * q."""
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     items = (benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))

@@ -29,8 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permgrid.llm.links import saved
-from permgrid.llm.wordhash import WordHasher, mix
+from permgrid.llm.links import saved, text_batches
+from permgrid.llm.wordhash import WordHasher, mix, small_batches
 
 BITS = 15
 TAGS = re.compile(r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]{1,8};")
@@ -68,7 +68,7 @@ def _count_cells(langs):
         import pyarrow as pa
         cells, total = WordCells(), np.zeros((len(langs), 1 << BITS), np.int64)
         code = {x: i for i, x in enumerate(langs)}
-        for b in batches:
+        for b in small_batches(batches, 1):
             c, counts = cells(b.column(1))
             lang = np.repeat(np.array([code.get(x, -1) for x in b.column(0).to_pylist()], np.int64), counts)
             for k in range(c.shape[1]):
@@ -102,7 +102,7 @@ def _text_evidence(shared, power, most):
         import pyarrow as pa
         langs, table = shared.value
         cells = WordCells()
-        for b in batches:
+        for b in small_batches(batches, 1):
             html = [x.as_py() or "" for x in b.column(1)]
             c, counts = cells(pa.array([page_text(x) for x in html], pa.string()))
             doc = np.repeat(np.arange(len(html)), counts)
@@ -137,6 +137,7 @@ def identify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
     ``kappa`` pseudo-pages carry each level's prior to the next; text evidence counts as
     min(words ** power, most) independent words.
     """
+    text_batches(pages.sparkSession)
     langs, table = train(labelled)
     if not langs:
         return _declared_only(pages, id_col, html_col)

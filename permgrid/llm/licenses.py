@@ -21,7 +21,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permgrid.llm.wordhash import WordHasher, alnum_separators
+from permgrid.llm.links import text_batches
+from permgrid.llm.wordhash import WordHasher, alnum_separators, small_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -160,7 +161,7 @@ def _scan(templates, phrases):
         first = {p[0] for p, _ in listed} | {w for a in automata for w in a.first or ()}
         open_start = any(a.first is None for a in automata)
         trigger = re.compile(b"|".join(sorted(map(re.escape, first))))
-        for b in batches:
+        for b in small_batches(batches, 1):
             _, _, counts, data, off, _ = hasher.spans(b.column(1))
             raw, rows = data.tobytes().lower(), []
             for i, n in enumerate(counts.tolist()):
@@ -190,6 +191,7 @@ def scan_licenses(docs: DataFrame, templates=None, phrases=None, id_col: str = "
 
     The score is 1 when a template is accepted, 0.5 when only a phrase stands in the text.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan(templates or TEMPLATES, phrases or PHRASES),
                            "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "

@@ -14,6 +14,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(spark, rows: int = 2500) -> None:
+    """Texts travel to Python in Arrow batches of at most ``rows`` rows from here on (Spark's own
+    default suits narrow rows): a batch is held by the JVM and the Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint only when a count proves that it is small.
 

@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permgrid.llm.links import text_batches
+
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_cost double")
 
@@ -214,6 +216,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     ``with_ids`` adds the token ids of each piece.  The tokenizer file must lie at the
     same path on the executors."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = SCHEMA + (", ids array<long>" if with_ids else "")
     return rows.mapInArrow(_packer(tokenizer_path, size, window, end_id, linear, quadratic, with_ids), schema)

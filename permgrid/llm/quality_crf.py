@@ -24,7 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permgrid.llm.wordhash import WordHasher, mix, space_separators
+from permgrid.llm.links import text_batches
+from permgrid.llm.wordhash import WordHasher, mix, small_batches, space_separators
 
 N_SHAPE = 15
 
@@ -217,7 +218,7 @@ def held_out(col):
 def _shapes(batches):
     import pyarrow as pa
     make = LineShapes()
-    for b in batches:
+    for b in small_batches(batches, 1):
         x, size, lines = make(b.column(1))
         off = np.concatenate([[0], np.cumsum(lines)])
         yield pa.RecordBatch.from_arrays(
@@ -228,6 +229,7 @@ def _shapes(batches):
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """The model from at most ``max_rows`` labelled rows of each class that are not held out."""
+    text_batches(docs.sparkSession)
     known = (labels.select(F.col(id_col).cast("long").alias("doc"), F.col("quality").cast("int").alias("quality"))
              .where("doc is not null and quality is not null").where(~held_out(F.col("doc")))
              .groupBy("doc").agg(F.min("quality").alias("quality")))
@@ -260,7 +262,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id
         if model.field is not None:
             model.field = LineField()
             model.field.__dict__.update(shared.value["field"])
-        for b in batches:
+        for b in small_batches(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(*make(b.column(1))))], names=["doc_id", "score"])
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",

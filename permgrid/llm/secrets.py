@@ -26,6 +26,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permgrid.llm.links import text_batches
+
 # The base patterns, by kind and in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -181,6 +183,7 @@ def _scan(batches):
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: counts of base matches, their digest, and all spans."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, n_confirmed long, "
                                   "base_sha256 string, spans string")

@@ -27,7 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permgrid.llm.wordhash import WordHasher, alnum_separators, mix
+from permgrid.llm.links import text_batches
+from permgrid.llm.wordhash import WordHasher, alnum_separators, mix, small_batches
 
 BITS = 20
 CATEGORIES = ["disruptive", "toxic", "severe"]
@@ -84,7 +85,7 @@ class TextFeatures:
 def _features(batches):
     import pyarrow as pa
     make = TextFeatures()
-    for b in batches:
+    for b in small_batches(batches, 1):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(make(b.column(1))), pa.list_(pa.int32()))], names=["doc", "cells"])
 
 
@@ -194,6 +195,7 @@ def severe(docs, toxic):
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_negative: int = 3000, id_col: str = "doc_id",
           text_col: str = "text"):
     """Chain models from the bounded sample of ``labels`` (doc_id, quality, toxic)."""
+    text_batches(docs.sparkSession)
     known = (labels.select(F.col(id_col).cast("long").alias("doc"), "quality", "toxic")
              .where("doc is not null and quality is not null and toxic is not null")
              .groupBy("doc").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")))
@@ -215,7 +217,7 @@ def _score(shared, threshold):
         import pyarrow as pa
         make = TextFeatures()
         models = shared.value
-        for b in batches:
+        for b in small_batches(batches, 1):
             docs, p = list(make(b.column(1))), np.zeros((len(b), 0))
             for cells, weights, extra, bias in models:
                 w = np.zeros(1 << BITS, np.float32)
@@ -250,11 +252,15 @@ def drop_toxic(docs: DataFrame, training_docs: DataFrame, labels: DataFrame, thr
 
     def keep(batches):
         import pyarrow as pa
-        scored = _score(shared, threshold)
-        for b in batches:
-            row = b.column(0)
-            verdict = next(scored(iter([pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), b.column(1)], names=["doc", "text"])])))
-            kept = row.filter(pa.array([not r for r in verdict.column(verdict.num_columns - 1).to_pylist()], pa.bool_()))
+        slices = []
+
+        def told():
+            for b in small_batches(batches, 1):
+                slices.append(b)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(b), pa.int64()), b.column(1)], names=["doc", "text"])
+        # the scorer gives one batch of verdicts for each slice, in order
+        for verdict in _score(shared, threshold)(told()):
+            kept = slices.pop(0).column(0).filter(pa.array([not r for r in verdict.column(verdict.num_columns - 1).to_pylist()], pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept], names=["row"])
     schema = wide.select("row").schema
     return wide.mapInArrow(keep, schema).select("row.*")

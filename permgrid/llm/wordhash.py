@@ -42,6 +42,21 @@ def alnum_separators():
     return t
 
 
+def small_batches(batches, text: int, limit: int = 1 << 20):
+    """Slices of Arrow batches whose ``text`` column has about ``limit`` bytes (or one longer row):
+    what is worked out from a slice then takes a bounded multiple of that."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(b):
+            done = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, done + limit, "right")))
+            yield b.slice(start, end - start)
+            start = end
+
+
 class WordHasher:
     """Hashes the words of text columns; ASCII letters count alike in either case."""
 
