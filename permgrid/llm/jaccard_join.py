@@ -34,8 +34,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permgrid.llm.links import bounded, components, saved
-from permgrid.llm.wordhash import WordHasher, mix, space_separators
+from permgrid.llm.links import bounded, components, saved, text_batches
+from permgrid.llm.wordhash import WordHasher, mix, small_batches, space_separators
 
 NUM, DEN = 80, 100
 SEEDS = 6
@@ -142,7 +142,7 @@ def _profiles(words):
     def run(batches):
         import pyarrow as pa
         hasher = WordHasher(space_separators())
-        for b in batches:
+        for b in small_batches(batches, 1):
             n, h1, h2, sk = [], [], [], []
             for u in hasher.shingles(b.column(1), words):
                 n.append(len(u))
@@ -160,7 +160,7 @@ def _slacks(words):
     def run(batches):
         import pyarrow as pa
         hasher, signer = WordHasher(space_separators()), Signer(NUM, DEN)
-        for b in batches:
+        for b in small_batches(batches, 1):
             doc, inst, slack = [], [], []
             for d, u in zip(b.column(0).to_pylist(), hasher.shingles(b.column(1), words)):
                 _, i, s = signer.sign(u)
@@ -176,7 +176,7 @@ def _signatures(words):
     def run(batches):
         import pyarrow as pa
         hasher, signer, seen = WordHasher(space_separators()), Signer(NUM, DEN), set()
-        for b in batches:
+        for b in small_batches(batches, 1):
             ids, sigs = [], []
             for doc, u in zip(b.column(0).to_pylist(), hasher.shingles(b.column(1), words)):
                 key = (len(u), *_copy_key(u)) if len(u) else None
@@ -211,8 +211,9 @@ def _stars(big):
                 hot[:size[0]] = True
             small = (sizes > 1) & ~hot & (d != lead)
             inst = (s & 0xFF).astype(np.int32)
+            none = np.zeros(small.sum(), np.int64)
             rows = np.concatenate([
-                np.stack([lead[small], d[small], np.zeros(small.sum(), np.int64), np.zeros(small.sum(), np.int64)], 1),
+                np.stack([lead[small], d[small], none - 1, none], 1),
                 np.stack([lead[hot], d[hot], inst[hot].astype(np.int64), np.ones(hot.sum(), np.int64)], 1)])
             if not len(rows):
                 return None
@@ -253,7 +254,7 @@ def _verify(words, num, den):
     def run(batches):
         import pyarrow as pa
         hasher = WordHasher(space_separators())
-        for b in batches:
+        for b in small_batches(batches, 3):
             keep, last, left = [], None, None
             for key, x, y in zip(b.column(0).to_pylist(), range(len(b)), hasher.shingles(b.column(3), words)):
                 if key != last:
@@ -303,7 +304,7 @@ def _compare_blocks(words, num, den):
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                       num: int = NUM, den: int = DEN, big: int = 32, block: int = 400) -> DataFrame:
+                       num: int = NUM, den: int = DEN, big: int = 16, block: int = 400) -> DataFrame:
     """(doc, n, component) per row of ``docs``: linked when den * common >= num * united.
 
     ``big`` is where a signature group counts as hot, ``block`` the rows of a block;
@@ -311,6 +312,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if (num, den) != (NUM, DEN):
         raise ValueError("the similarity is fixed at 80 of 100")
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     prof = saved(rows.mapInArrow(_profiles(words), "doc long, n long, h1 long, h2 long, sk array<long>"))
     # equal sets: one representative each
@@ -348,7 +350,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return saved(both.mapInArrow(_verify(words, num, den), "a long, b long"))
 
-    pairs = saved(stars.where("a <> b").select("a", "b").distinct())
+    # sets that have too few signatures besides hot ones
+    hot = stars.where("hot > 0")
+    load = saved(hot.groupBy(F.col("b").alias("doc"), "inst").agg(F.sum("hot").alias("hot")))
+    slack = (rows.join(bounded(saved(load.select("doc").distinct())), "doc", "left_semi")
+             .mapInArrow(_slacks(words), "doc long, inst int, slack long"))
+    unsafe = saved(load.join(slack, ["doc", "inst"]).where("hot >= slack").select("doc", "inst").distinct())
+    # a safe set meets its partners in cold groups, so hot stars matter between unsafe sets only
+    tied = (hot.where("a <> b").join(unsafe.withColumnRenamed("doc", "a"), ["a", "inst"], "left_semi")
+            .join(unsafe.withColumnRenamed("doc", "b"), ["b", "inst"], "left_semi").select("a", "b"))
+    small = stars.where("hot = 0 and a <> b").select("a", "b")
+    pairs = saved(small.unionByName(tied).distinct())
     edges = saved(copies.unionByName(verified(pairs)))
     roots = saved(components(edges))
 
@@ -359,19 +371,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return df
 
     # members of one leader that the leader does not connect
-    small = stars.where("hot = 0 and a <> b").select("a", "b").distinct()
-    members = rooted(small, "a", "b")
+    members = rooted(small.distinct(), "a", "b")
     apart = members.where("r_a <> r_b").select("a", F.col("b").alias("m"), F.col("r_b").alias("r_m"))
     cross = (apart.join(members.select("a", "b", "r_b"), "a").where("r_m <> r_b and m <> b")
              .select(F.least("m", "b").alias("a"), F.greatest("m", "b").alias("b")).distinct())
     second = verified(cross.join(pairs, ["a", "b"], "left_anti"))
 
-    # sets that have too few signatures besides hot ones
-    hot = stars.where("hot > 0")
-    load = saved(hot.groupBy(F.col("b").alias("doc"), "inst").agg(F.sum("hot").alias("hot")))
-    slack = (rows.join(bounded(saved(load.select("doc").distinct())), "doc", "left_semi")
-             .mapInArrow(_slacks(words), "doc long, inst int, slack long"))
-    unsafe = saved(load.join(slack, ["doc", "inst"]).where("hot >= slack").select("doc", "inst").distinct())
     shared = (hot.join(unsafe.withColumnRenamed("doc", "b"), ["b", "inst"])
               .select(F.concat_ws(":", "inst", "a").alias("lead"), "b", "inst"))
     third = _blocks(rows, prof, saved(rooted(shared, "b")), words, num, den, block)
