@@ -9,14 +9,15 @@ for its own band and for the next one that a larger partner may lie in.
 *Empty ranges* are no signature.  A set with fewer than n - k empty ranges is safe: a
 partner must agree with it on a range that holds something.  Unsafe sets sign again
 under another permutation of the domain, up to ``SEEDS`` times, and a set that is still
-unsafe signs with one fallback mark.
+unsafe signs with one fallback mark.  A signature names its band and its permutation.
 
 *Groups.*  Rows of one signature meet in one partition in sorted order and are read as a
 stream.  A group links its members to its smallest one (star), never all pairs.  When a
 star pair of a small group turns out not to be linked, the members of that leader are
 compared with it one by one.  A signature of more than ``big`` members counts as empty:
-only sets that have too few other signatures left are compared beyond the star, and
-these in blocks of bounded size which return a spanning forest, so that a group of near
+only sets that have too few other signatures of their last permutation left, or a hot one
+of an earlier permutation (where a partner may have stopped), are compared beyond the
+star, and these in blocks of bounded size which return a spanning forest, so that a group of near
 copies never becomes a list of all its pairs.
 
 *Verification* is exact: a parity sketch (its distance never exceeds that of the sets)
@@ -75,13 +76,13 @@ class Signer:
         return self.plan[j]
 
     def sign(self, u):
-        """(signatures, instances, slacks) of one set; instance i has slack n - k - empty."""
+        """(signatures, instances, slacks, last seeds) of one set; instance i has slack n - k - empty."""
         m = len(u)
         if not m:
-            return np.zeros(0, np.int64), [], []
+            return np.zeros(0, np.int64), [], [], []
         first = int(np.searchsorted(self.lo, m, "right")) - 1
         last = int(np.searchsorted(self.lo, m * self.den // self.num, "right")) - 1
-        orders, out, inst, slacks = [], [], [], []
+        orders, out, inst, slacks, seeds = [], [], [], [], []
         for j in range(first, last + 1):
             k, border, mark = self.parts(j)
             slack = 0
@@ -97,19 +98,20 @@ class Signer:
                 edge[-1] = m
                 full = np.flatnonzero(edge[1:] > edge[:-1])
                 at = c[edge]
-                out.append(self.tag(at[full + 1] - at[full] + mark[full] + np.uint64(seed << 40), j))
+                out.append(self.tag(at[full + 1] - at[full] + mark[full] + np.uint64(seed << 40), j, seed))
                 slack = len(full) - k
                 if slack > 0:
                     break
             if slack <= 0:
-                out.append(self.tag(np.array([j + 1], np.uint64) * np.uint64(0xABCDEF12345), j))
+                out.append(self.tag(np.array([j + 1], np.uint64) * np.uint64(0xABCDEF12345), j, SEEDS))
             inst.append(j)
             slacks.append(max(slack, 0))
-        return np.concatenate(out), inst, slacks
+            seeds.append(seed)
+        return np.concatenate(out), inst, slacks, seeds
 
     @staticmethod
-    def tag(h, j):
-        return ((mix(h) & ~np.uint64(0xFF)) | np.uint64(j)).view(np.int64)
+    def tag(h, j, seed):
+        return ((mix(h) & ~np.uint64(0x7FF)) | np.uint64(seed << 8 | j)).view(np.int64)
 
 
 def sketch(u):
@@ -161,14 +163,15 @@ def _slacks(words):
         import pyarrow as pa
         hasher, signer = WordHasher(space_separators()), Signer(NUM, DEN)
         for b in small_batches(batches, 1):
-            doc, inst, slack = [], [], []
+            doc, inst, slack, last = [], [], [], []
             for d, u in zip(b.column(0).to_pylist(), hasher.shingles(b.column(1), words)):
-                _, i, s = signer.sign(u)
+                _, i, s, t = signer.sign(u)
                 doc += [d] * len(i)
                 inst += i
                 slack += s
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(inst, pa.int32()), pa.array(slack, pa.int64())],
-                                             names=["doc", "inst", "slack"])
+                last += t
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(inst, pa.int32()), pa.array(slack, pa.int64()),
+                                              pa.array(last, pa.int32())], names=["doc", "inst", "slack", "last"])
     return run
 
 
@@ -195,7 +198,7 @@ def _signatures(words):
 
 
 def _stars(big):
-    """Streams rows sorted by (sig, doc); yields (a = leader, b = member, inst, hot)."""
+    """Streams rows sorted by (sig, doc); yields (a = leader, b = member, inst, hot); inst has the seed above its eighth bit."""
     def run(batches):
         import pyarrow as pa
         carry_s, carry_d, carry_big = np.zeros(0, np.int64), np.zeros(0, np.int64), False
@@ -210,7 +213,7 @@ def _stars(big):
             if first_big:
                 hot[:size[0]] = True
             small = (sizes > 1) & ~hot & (d != lead)
-            inst = (s & 0xFF).astype(np.int32)
+            inst = (s & 0x7FF).astype(np.int32)
             none = np.zeros(small.sum(), np.int64)
             rows = np.concatenate([
                 np.stack([lead[small], d[small], none - 1, none], 1),
@@ -350,13 +353,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return saved(both.mapInArrow(_verify(words, num, den), "a long, b long"))
 
-    # sets that have too few signatures besides hot ones
-    hot = stars.where("hot > 0")
-    load = saved(hot.groupBy(F.col("b").alias("doc"), "inst").agg(F.sum("hot").alias("hot")))
+    # sets that have too few signatures of their last seed besides hot ones; a partner that stopped at an
+    # earlier seed shares signatures of that seed only, so there one hot signature is enough
+    hot = stars.where("hot > 0").select("a", "b", (F.col("inst") % 256).alias("inst"), F.shiftright("inst", 8).alias("seed"), "hot")
+    load = saved(hot.groupBy(F.col("b").alias("doc"), "inst", "seed").agg(F.sum("hot").alias("hot")))
     slack = (rows.join(bounded(saved(load.select("doc").distinct())), "doc", "left_semi")
-             .mapInArrow(_slacks(words), "doc long, inst int, slack long"))
-    unsafe = saved(load.join(slack, ["doc", "inst"]).where("hot >= slack").select("doc", "inst").distinct())
+             .mapInArrow(_slacks(words), "doc long, inst int, slack long, last int"))
+    unsafe = saved(load.join(slack, ["doc", "inst"]).where("hot >= slack or seed < last").select("doc", "inst").distinct())
     # a safe set meets its partners in cold groups, so hot stars matter between unsafe sets only
+    hot = hot.select("a", "b", "inst").distinct()
     tied = (hot.where("a <> b").join(unsafe.withColumnRenamed("doc", "a"), ["a", "inst"], "left_semi")
             .join(unsafe.withColumnRenamed("doc", "b"), ["b", "inst"], "left_semi").select("a", "b"))
     small = stars.where("hot = 0 and a <> b").select("a", "b")

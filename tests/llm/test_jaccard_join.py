@@ -115,3 +115,15 @@ def test_signatures_of_similar_sets_meet():
         if 100 * both >= 80 * (len(a) + len(b) - both):
             assert set(signer.sign(a)[0].tolist()) & set(signer.sign(b)[0].tolist())
             assert J.parity_gap(J.sketch(a).view(np.uint64), J.sketch(b).view(np.uint64)) <= len(a) + len(b) - 2 * both
+
+
+def test_partners_that_stop_at_different_seeds_meet(documents):
+    """More variants of a short text than a signature may have: all that some share is hot, and a set that
+    signs under a further permutation must not count as safe for a partner that had stopped before."""
+    base = [f"b532w{k}" for k in range(13)]  # for the hashes of these words 18 components were found instead of one
+    rows = [(0, " ".join(base))]
+    for i in range(1, 40):
+        rows.append((i, " ".join(base + [f"y{i}q{q}" for q in range(1 if i % 2 else 2)])))
+    want = brute(rows)
+    assert {c for _, c in want.values()} == {0}
+    assert run(documents(rows)) == want
