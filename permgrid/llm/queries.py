@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_line_dedup")
 def op1(spark, sf_dir):
-    return line_dedup_report(table(spark, sf_dir, "documents"))
+    return line_dedup_report(table(spark, sf_dir, "documents"), exact_words=1)
 
 
 @query("op2_packing")
