@@ -15,6 +15,7 @@ from permgrid.llm.line_dedup import line_dedup_report
 from permgrid.llm.packing import default_tokenizer, pack_documents
 from permgrid.llm.quality_crf import score_quality
 from permgrid.llm.secrets import scan_secrets
+from permgrid.llm.spelling import spelling_variants
 from permgrid.llm.topk import search_every_hundredth
 from permgrid.llm.toxicity import score_toxicity
 
@@ -83,3 +84,8 @@ def op9(spark, sf_dir):
 @query("op10_secret_scan")
 def op10(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
