@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from permgrid.llm import decontaminate, topk
+from permgrid.llm.alignment import alignment_report, default_paths
 from permgrid.llm.decontaminate import contaminated_documents
 from permgrid.llm.jaccard_join import near_duplicate_documents
 from permgrid.llm.langid import identify
@@ -89,3 +90,8 @@ def op10(spark, sf_dir):
 @query("op12_spelling_variants")
 def op12(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    return alignment_report(table(spark, sf_dir, "documents"), default_paths())
