@@ -11,6 +11,7 @@ from permgrid.llm.alignment import alignment_report, default_paths
 from permgrid.llm.decontaminate import contaminated_documents
 from permgrid.llm.jaccard_join import near_duplicate_documents
 from permgrid.llm.langid import identify
+from permgrid.llm.lblm import score_language
 from permgrid.llm.licenses import scan_licenses
 from permgrid.llm.line_dedup import line_dedup_report
 from permgrid.llm.packing import default_tokenizer, pack_documents
@@ -95,3 +96,8 @@ def op12(spark, sf_dir):
 @query("op11_token_alignment")
 def op11(spark, sf_dir):
     return alignment_report(table(spark, sf_dir, "documents"), default_paths())
+
+
+@query("op13_lm_scoring")
+def op13(spark, sf_dir):
+    return score_language(table(spark, sf_dir, "documents"))

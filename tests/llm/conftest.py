@@ -1,7 +1,11 @@
 """Small builders shared by the operator tests."""
 
+import os
+
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # as Spark sets it for Python workers on a cluster
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
