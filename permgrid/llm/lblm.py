@@ -57,7 +57,7 @@ class Settings:
     rate: float = 0.15
     folds: int = 5
     held_fold: int = 1
-    frequent: int = 1_000_000
+    frequent: int = 250_000
 
     @property
     def targets(self) -> int:
@@ -170,16 +170,17 @@ def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
 # --- the model: one flat array of parameters ------------------------------------
 
 def _shapes(s):
-    return [("R", (s.targets, s.dim)), ("Q", (s.targets, s.dim)), ("C", (s.context, s.dim)), ("b", (s.targets,))]
+    return [("R", (s.targets, s.dim)), ("Qb", (s.targets, s.dim + 1)), ("C", (s.context, s.dim))]
 
 
 def unpack(flat, s: Settings) -> dict:
+    """Views into ``flat``: R, C, and Q with the biases b as its last column."""
     out, at = {}, 0
     for name, shape in _shapes(s):
         n = int(np.prod(shape))
         out[name] = flat[at:at + n].reshape(shape)
         at += n
-    return out
+    return out | {"Q": out["Qb"][:, :-1], "b": out["Qb"][:, -1]}
 
 
 def start(v: Vocabulary, s: Settings):
@@ -206,7 +207,8 @@ def contexts(t, first, s: Settings, end: int):
 
 def _add_rows(params, memory, ids, grads, rate):
     """Adagrad step on the rows ``ids`` (repeats are added up first)."""
-    order = np.argsort(ids, kind="stable")
+    small = ids.astype(np.uint16) if len(params) <= 1 << 16 else ids  # sorts faster
+    order = np.argsort(small, kind="stable")
     ids = ids[order]
     at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     g, rows = np.add.reduceat(grads[order], at, axis=0), ids[at]
@@ -214,24 +216,37 @@ def _add_rows(params, memory, ids, grads, rate):
     params[rows] += rate * g / np.sqrt(memory[rows])
 
 
+def _sigmoid(x):
+    """1 / (1 + exp(-x)), worked out in place."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def nce_step(p, mem, ctx, t, noise, log_noise, rate):
     """One minibatch: contexts (context, n), targets (n,), noise targets shared by all of them."""
-    log_k = np.float32(np.log(len(noise)))
-    r = p["R"][ctx]
-    q = (r * p["C"][:, None, :]).sum(0)
-    good = (q * p["Q"][t]).sum(1) + p["b"][t] - (log_k + log_noise[t])
-    bad = q @ p["Q"][noise].T + (p["b"][noise] - (log_k + log_noise[noise]))
-    g_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-    g_bad = -1 / (1 + np.exp(np.clip(-bad, -30, 30)))
-    dq = g_good[:, None] * p["Q"][t] + g_bad @ p["Q"][noise]
-    ids = np.concatenate([t, noise])
-    grads = np.concatenate([np.concatenate([g_good[:, None] * q, g_good[:, None]], 1),
-                            np.concatenate([g_bad.T @ q, g_bad.sum(0)[:, None]], 1)])
-    d_context = (dq[None] * r).sum(1)
-    d_r = (dq[None] * p["C"][:, None, :]).reshape(-1, q.shape[1])
-    both = np.concatenate([p["Q"], p["b"][:, None]], 1)
-    _add_rows(both, mem["Qb"], ids, grads, rate)
-    p["Q"][:], p["b"][:] = both[:, :-1], both[:, -1]
+    n, log_k = len(t), np.float32(np.log(len(noise)))
+    r, target, wrong = p["R"][ctx], p["Qb"][t], p["Qb"][noise]
+    q = r[0] * p["C"][0]
+    for j in range(1, len(ctx)):
+        q += r[j] * p["C"][j]
+    good = np.einsum("nd,nd->n", q, target[:, :-1])
+    good += target[:, -1] - (log_k + log_noise[t])
+    bad = q @ wrong[:, :-1].T
+    bad += wrong[:, -1] - (log_k + log_noise[noise])
+    g_good, g_bad = 1 - _sigmoid(good), _sigmoid(bad)
+    dq = target[:, :-1] * g_good[:, None]
+    dq -= g_bad @ wrong[:, :-1]
+    grads = np.empty((n + len(noise), q.shape[1] + 1), np.float32)
+    np.multiply(q, g_good[:, None], out=grads[:n, :-1])
+    grads[:n, -1] = g_good
+    np.matmul(g_bad.T, -q, out=grads[n:, :-1])
+    grads[n:, -1] = -g_bad.sum(0)
+    d_context = np.einsum("nd,jnd->jd", dq, r)
+    d_r = np.concatenate([dq * c for c in p["C"]])
+    _add_rows(p["Qb"], mem["Qb"], np.concatenate([t, noise]), grads, rate)
     _add_rows(p["R"], mem["R"], ctx.reshape(-1), d_r, rate)
     mem["C"] += d_context * d_context
     p["C"] += rate * d_context / np.sqrt(mem["C"])
@@ -241,8 +256,7 @@ def train_copy(flat, slices, v: Vocabulary, s: Settings, rate: float, seed):
     """(trained parameters, tokens): a copy of the model after one pass over slices of (contexts, targets)."""
     flat = flat.copy()
     p, rng, seen = unpack(flat, s), np.random.default_rng(seed), 0
-    mem = {"Qb": np.full((s.targets, s.dim + 1), 1.0, np.float32), "R": np.full((s.targets, s.dim), 1.0, np.float32),
-           "C": np.full((s.context, s.dim), 1.0, np.float32)}
+    mem = {name: np.ones(shape, np.float32) for name, shape in _shapes(s)}
     log_noise = np.log(np.maximum(v.noise, 1e-30)).astype(np.float32)
     ladder = np.cumsum(v.noise)
     for ctx, t in slices:
@@ -269,7 +283,8 @@ def log_probs(p, ctx, t, s: Settings, rows: int = 2048):
         top = np.sqrt((q[at:at + rows] ** 2).sum(1)) * longest + highest  # at least the largest score
         if (top - z[:, 0]).max(initial=0) > 60:
             top = z.max(1)
-        norm[at:at + rows] = top + np.log(np.exp(z - top[:, None]).sum(1))
+        z -= top[:, None]
+        norm[at:at + rows] = top + np.log(np.exp(z, out=z).sum(1))
     return np.einsum("nd,nd->n", q[same], p["Q"][t]).astype(np.float64) + p["b"][t] - norm[same]
 
 
@@ -308,7 +323,7 @@ def train(docs: DataFrame, v: Vocabulary, s: Settings):
     flat, parts = start(v, s), docs.rdd.getNumPartitions()
     for n in range(s.rounds):
         given = spark.sparkContext.broadcast((v, flat))
-        copies = docs.mapInArrow(lambda it, g=given, n=n: _train_task(it, g.value[0], g.value[1], s, s.rate / (n + 1), n), schema)
+        copies = docs.mapInArrow(lambda it, g=given, n=n: _train_task(it, *g.value, s, s.rate / (n + 1), n), schema)
         left = parts
         while left > 64:
             left = -(-left // 64)
@@ -366,8 +381,9 @@ def score_language(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc
     flat = train(d, v, s)
     low = frequent_from(counts.withColumnRenamed("c_all", "n"), s.frequent)
     chosen = (F.col("c_all") >= low) | F.col("h").isin(v.h.tolist())  # the model's own words are always among them
-    often = counts.where(chosen).select("h", "c_train").toPandas().sort_values("h")
-    known = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["c_train"].to_numpy(np.int64)))
+    often = counts.where(chosen).select("h", "c_train").toArrow().sort_by("h")
+    known = spark.sparkContext.broadcast((often["h"].to_numpy(), often["c_train"].to_numpy()))
+    del often
     given = spark.sparkContext.broadcast((v, flat))
     path = scratch_path(spark, "scored")
     d.mapInArrow(lambda it: _score_task(it, *given.value, known.value, s), SCORED).write.option("compression", "zstd").parquet(path)

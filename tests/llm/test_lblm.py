@@ -61,7 +61,7 @@ def test_score_equals_a_plain_restatement(documents, spark):
     counts = L.token_counts(d, SMALL)
     v = L.vocabulary(counts, SMALL)
     flat = L.train(d, v, SMALL)
-    p = {k: x.astype(np.float64) for k, x in L.unpack(flat, SMALL).items()}
+    p = {k: x.astype(np.float64) for k, x in L.unpack(flat, SMALL).items()}  # doubles
     got = {r["doc_id"]: r["score"] for r in L.score_language(documents(rows), SMALL).collect()}
     _, c = plain(rows)
     import pyarrow as pa
@@ -97,7 +97,7 @@ def test_probabilities_of_a_context_sum_up_to_one():
 def test_the_normaliser_holds_for_large_scores():
     s = L.Settings(words=4, classes=2, dim=2, context=1)
     p = {"R": np.array([[50, 0]] * 6, np.float32), "Q": np.array([[i, 0] for i in range(6)], np.float32), "C": np.ones((1, 2), np.float32),
-         "b": np.zeros(6, np.float32)}
+         "b": np.zeros(6, np.float32)}  # z - top reaches 250
     lp = L.log_probs(p, np.zeros((1, 6), np.int64), np.arange(6), s)
     assert lp == pytest.approx([-50.0 * (5 - i) for i in range(6)], abs=1e-3)
 
