@@ -63,6 +63,7 @@ class Vocabularies:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(paths.a)
         self.a.encode_special_tokens = True
+        self.cut_a = ChunkEncoder(self.a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=paths.b)
         # the byte-level alphabet: printable Latin-1 stands for itself, the rest from U+0100 on
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -76,6 +77,42 @@ class Vocabularies:
         self.base = n  # a pair of ids as one number: a * base + b
 
 
+def _chunk_patterns():
+    """(chunks that A cuts on its own, what makes a text go to A whole).
+
+    A never joins characters over white space but for one space before a word.  Characters on which
+    libraries may differ as white space are not cut at."""
+    import re
+    return (re.compile("[ ]?[^ \\t\\n\\r]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+"),
+            re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|"))
+
+
+class ChunkEncoder:
+    """A's ids of whole texts: every distinct chunk between white space goes through A once while it is kept."""
+
+    def __init__(self, tokenizer, kept_chars: int = 4_000_000):
+        self.tok, self.limit = tokenizer, kept_chars
+        self.chunk, self.odd = _chunk_patterns()
+        self.known, self.chars = {}, 0
+
+    def _ids(self, texts):
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list) -> list:
+        from itertools import chain
+        whole = [n for n, t in enumerate(texts) if self.odd.search(t)]
+        out = dict(zip(whole, self._ids([texts[n] for n in whole])))
+        chunks = {n: self.chunk.findall(t) for n, t in enumerate(texts) if n not in out}
+        if self.chars > self.limit:
+            self.known, self.chars = {}, 0
+        new = list(set(chain.from_iterable(chunks.values())).difference(self.known))
+        self.known.update(zip(new, self._ids(new)))
+        self.chars += sum(map(len, new))
+        for n, parts in chunks.items():
+            out[n] = list(chain.from_iterable(map(self.known.__getitem__, parts)))
+        return [out[n] for n in range(len(texts))]
+
+
 def worker_vocabularies(paths: Paths) -> Vocabularies:
     """The vocabularies of this Python worker, kept between tasks."""
     import sys
@@ -168,7 +205,7 @@ def align_batch(v: Vocabularies, texts: list, at_once: int = 2_000_000):
     import pyarrow.compute as pc
     n = len(texts)
     full = [i for i, t in enumerate(texts) if t]
-    a = _id_lists([e.ids for e in v.a.encode_batch_fast([" " + texts[i] for i in full], add_special_tokens=False)])
+    a = _id_lists(v.cut_a.encode([" " + texts[i] for i in full]))
     b = _id_lists(v.b.encode([texts[i] for i in full], num_threads=1))
     want = [b" " + texts[i].encode() for i in full]
     ok = _joined_ok(a, v.a_bytes, want) & _joined_ok(b, v.b_bytes, want)

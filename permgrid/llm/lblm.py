@@ -40,6 +40,7 @@ from permgrid.llm.wordhash import WordHasher, mix, small_batches, space_separato
 from permgrid.session import scratch_path
 
 END = 0  # stands for a document's end among the word hashes
+SLICE = 4 << 20  # bytes of text worked on at once; contexts repeat more often in larger slices
 COUNTS = "h long, cls int, c_all long, c_train long"
 
 
@@ -52,7 +53,7 @@ class Settings:
     dim: int = 32
     context: int = 2
     rounds: int = 2
-    batch: int = 1024
+    batch: int = 512
     noise: int = 64
     rate: float = 0.15
     folds: int = 5
@@ -225,25 +226,44 @@ def _sigmoid(x):
     return np.reciprocal(x, out=x)
 
 
-def nce_step(p, mem, ctx, t, noise, log_noise, rate):
-    """One minibatch: contexts (context, n), targets (n,), noise targets shared by all of them."""
-    n, log_k = len(t), np.float32(np.log(len(noise)))
+def grouped(ctx, t, s: Settings):
+    """Distinct contexts (context, n) and, in their order, (targets, times, first row per context)."""
+    code = np.zeros(len(t), np.int64)
+    for c in (*ctx, t):
+        code = code * s.targets + c
+    code, times = np.unique(code, return_counts=True)
+    code, target = np.divmod(code, s.targets)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    code, out = code[first], np.empty((len(ctx), len(first)), np.int64)
+    for j in range(len(ctx) - 1, -1, -1):
+        code, out[j] = np.divmod(code, s.targets)
+    return out, target, times, first
+
+
+def nce_step(p, mem, ctx, t, times, first, noise, log_noise, rate):
+    """One minibatch of distinct contexts (context, n) and their targets ``t``, seen ``times`` each, the
+    rows of a context starting at ``first``; all share the noise targets."""
+    rows, log_k = len(t), np.float32(np.log(len(noise)))
+    size = np.diff(np.append(first, rows))
     r, target, wrong = p["R"][ctx], p["Qb"][t], p["Qb"][noise]
     q = r[0] * p["C"][0]
     for j in range(1, len(ctx)):
         q += r[j] * p["C"][j]
-    good = np.einsum("nd,nd->n", q, target[:, :-1])
+    each = np.repeat(q, size, axis=0)
+    good = np.einsum("nd,nd->n", each, target[:, :-1])
     good += target[:, -1] - (log_k + log_noise[t])
     bad = q @ wrong[:, :-1].T
     bad += wrong[:, -1] - (log_k + log_noise[noise])
-    g_good, g_bad = 1 - _sigmoid(good), _sigmoid(bad)
-    dq = target[:, :-1] * g_good[:, None]
+    times = times.astype(np.float32)
+    g_good = (1 - _sigmoid(good)) * times
+    g_bad = _sigmoid(bad) * np.add.reduceat(times, first)[:, None]
+    dq = np.add.reduceat(target[:, :-1] * g_good[:, None], first, axis=0)
     dq -= g_bad @ wrong[:, :-1]
-    grads = np.empty((n + len(noise), q.shape[1] + 1), np.float32)
-    np.multiply(q, g_good[:, None], out=grads[:n, :-1])
-    grads[:n, -1] = g_good
-    np.matmul(g_bad.T, -q, out=grads[n:, :-1])
-    grads[n:, -1] = -g_bad.sum(0)
+    grads = np.empty((rows + len(noise), q.shape[1] + 1), np.float32)
+    np.multiply(each, g_good[:, None], out=grads[:rows, :-1])
+    grads[:rows, -1] = g_good
+    np.matmul(g_bad.T, -q, out=grads[rows:, :-1])
+    grads[rows:, -1] = -g_bad.sum(0)
     d_context = np.einsum("nd,jnd->jd", dq, r)
     d_r = np.concatenate([dq * c for c in p["C"]])
     _add_rows(p["Qb"], mem["Qb"], np.concatenate([t, noise]), grads, rate)
@@ -252,19 +272,35 @@ def nce_step(p, mem, ctx, t, noise, log_noise, rate):
     p["C"] += rate * d_context / np.sqrt(mem["C"])
 
 
+def minibatches(ctx, target, times, first, size: int, rng):
+    """The contexts in random order, in runs of about ``size`` tokens, as arguments of :func:`nce_step`."""
+    order = rng.permutation(len(first))
+    place = np.empty(len(first), np.int64)
+    place[order] = np.arange(len(first))
+    rows = np.diff(np.append(first, len(target)))
+    by = np.argsort(np.repeat(place, rows), kind="stable")
+    target, times, rows = target[by], times[by], rows[order]
+    first = np.cumsum(rows) - rows
+    tokens = np.cumsum(np.add.reduceat(times, first))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(tokens, np.arange(size, tokens[-1], size), "right"), [len(first)]]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        low, high = first[a], first[b] if b < len(first) else len(target)
+        yield ctx[:, order[a:b]], target[low:high], times[low:high], first[a:b] - low
+
+
 def train_copy(flat, slices, v: Vocabulary, s: Settings, rate: float, seed):
-    """(trained parameters, tokens): a copy of the model after one pass over slices of (contexts, targets)."""
+    """(trained parameters, tokens): a copy of the model after one pass over slices of (contexts, targets).
+
+    A slice is worked off by distinct contexts, since equal ones have equal predictions."""
     flat = flat.copy()
     p, rng, seen = unpack(flat, s), np.random.default_rng(seed), 0
     mem = {name: np.ones(shape, np.float32) for name, shape in _shapes(s)}
     log_noise = np.log(np.maximum(v.noise, 1e-30)).astype(np.float32)
     ladder = np.cumsum(v.noise)
     for ctx, t in slices:
-        order = rng.permutation(len(t))
-        for at in range(0, len(t), s.batch):
-            part = order[at:at + s.batch]
+        for part in minibatches(*grouped(ctx, t, s), s.batch, rng):
             noise = np.minimum(np.searchsorted(ladder, rng.random(s.noise), "right"), s.targets - 1)
-            nce_step(p, mem, ctx[:, part], t[part], noise, log_noise, rate)
+            nce_step(p, mem, *part, noise, log_noise, rate)
         seen += len(t)
     return flat, seen
 
@@ -297,7 +333,7 @@ def _train_task(batches, v, flat, s, rate, round_no):
     end = int(v.targets(np.array([END]), np.array([0]), s)[0])
 
     def slices():
-        for b in small_batches(batches, 1):
+        for b in small_batches(batches, 1, SLICE):
             b = b.filter(pa.array(~held_out(b.column(0).to_pylist(), s)))
             if len(b):
                 h, cls, _, first = tok.of(b.column(1))
@@ -345,7 +381,7 @@ def _score_task(batches, v, flat, known, s):
     end = int(v.targets(np.array([END]), np.array([0]), s)[0])
     words, count = known
     share = np.log10(v.class_size)
-    for b in small_batches(batches, 1):
+    for b in small_batches(batches, 1, SLICE):
         h, cls, doc, first = tok.of(b.column(1))
         n = len(b)
         t = v.targets(h, cls, s)
