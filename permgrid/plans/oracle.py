@@ -92,7 +92,8 @@ select o_orderkey as row_no,
               when 20 then 'user.' || (o_custkey // 8) || '-x-' || (1 + o_orderkey % 3) || '@d' || ((o_orderkey // 30) % 4)
                    || '.example.com'
               else 'user.' || o_custkey || '-x@example.com' end || ' ' end as email,
-       'Imported ' || cast(o_custkey as varchar) as display_name,
+       case when o_orderkey % 45 = 0 then 'Imported "' || o_custkey || '",' || chr(10) || 'second line'
+            else 'Imported ' || cast(o_custkey as varchar) end as display_name,
        'ws' || cast(o_orderkey % 27 as varchar) as workspace_id,
        'cat' || cast(o_orderkey % 2 as varchar) as uc_catalog,
        'sch' || cast(o_orderkey % 3 as varchar) as uc_schema,

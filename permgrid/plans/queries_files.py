@@ -246,10 +246,10 @@ _CSV_COLUMNS = ("email", "display_name", "workspace_id", "uc_catalog", "uc_schem
 @register("csv_source", "select row_no as line, " + ", ".join(f"nullif({c}, '') as {c}" for c in _CSV_COLUMNS) + " from import_rows")
 def q_csv_source(spark, sf):
     """Write the import rows as CSV files in parallel, then read them back as text in splits.
-    The rows' own number shows that every line came back whole."""
+    The rows' own number shows that every record came back whole, line breaks in names included."""
     path = scratch_path(spark, "upload") + ".csv"
     raw = fx.import_rows(spark, sf).withColumnRenamed("row_no", "line")
-    raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    raw.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     back = I.read_import_csv(spark, path).drop("row_no")
     return back.select(F.col("line").cast("bigint").alias("line"), *(F.nullif(F.col(c), F.lit("")).alias(c) for c in _CSV_COLUMNS))
 

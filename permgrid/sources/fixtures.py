@@ -172,7 +172,8 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An uploaded grants CSV, as text, one row per order, in order-key order.
 
     New e-mails collide: with each other (one local part at several domains), with
-    the ids of existing users, and with suffixed ids of other new e-mails.
+    the ids of existing users, and with suffixed ids of other new e-mails.  Some names hold
+    quotes, a comma and a line break.
     """
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -186,7 +187,8 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         k.alias("row_no"),
         F.when(k % 70 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), email, F.lit(" "))).alias("email"),
-        F.concat(F.lit("Imported "), cust).alias("display_name"),
+        F.when(k % 45 == 0, F.concat(F.lit('Imported "'), cust, F.lit('",\nsecond line')))
+         .otherwise(F.concat(F.lit("Imported "), cust)).alias("display_name"),
         vol[0], vol[1], vol[2],
         F.when(k % 110 == 0, F.lit(" ")).otherwise(F.concat(F.lit("vol"), _s(_vol_number(k)))).alias("volume"),
         F.concat(F.lit("/y"), _s(F.year("o_orderdate")), F.lit("/")).alias("folder_path"),

@@ -5,7 +5,7 @@ change is idempotent on its keys."""
 from pyspark.sql import functions as F
 
 from permgrid.operators.authorise import effective_permission
-from permgrid.operators.changes import bulk_change
+from permgrid.operators.changes import accepted_changes, bulk_change
 from permgrid.plans.entitlement import inventory_folders, user_folder_ranks
 from permgrid.schemas import GRANT_COLUMNS, VOL_KEY
 from permgrid.sources import fixtures as fx
@@ -31,7 +31,7 @@ def test_matrix_equals_per_request_decisions(spark):
 
 def test_more_grants_never_lower_a_decision(spark):
     req, mem, gr = fx.requests(spark, SF), fx.memberships(spark, SF), fx.grants(spark, SF)
-    extra = bulk_change(gr.limit(0), fx.changes(spark, SF), "admin", "2026-01-01 00:00:00")
+    extra = bulk_change(gr.limit(0), accepted_changes(fx.changes(spark, SF)), "admin", "2026-01-01 00:00:00")[0]
     before = effective_permission(req, mem, gr).select("request_id", rank().alias("r1"))
     after = effective_permission(req, mem, gr.unionByName(extra)).select("request_id", rank().alias("r2"))
     j = before.join(after, "request_id")
@@ -41,8 +41,8 @@ def test_more_grants_never_lower_a_decision(spark):
 
 
 def test_bulk_change_idempotent(spark):
-    gr, ch = fx.grants(spark, SF), fx.changes(spark, SF)
-    once = bulk_change(gr, ch, "admin", "2026-01-01 00:00:00")
-    twice = bulk_change(once, ch, "admin", "2026-01-01 00:00:00")
+    gr, ch = fx.grants(spark, SF), accepted_changes(fx.changes(spark, SF))
+    once = bulk_change(gr, ch, "admin", "2026-01-01 00:00:00")[0]
+    twice = bulk_change(once, ch, "admin", "2026-01-01 00:00:00")[0]
     a, b = once.select(*GRANT_COLUMNS), twice.select(*GRANT_COLUMNS)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
