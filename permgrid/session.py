@@ -85,6 +85,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def saved(df):
+    """``df`` computed once and read from a reliable checkpoint below ``spark.checkpoint.dir`` from then on."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder below the checkpoint root for one job's output."""
     root = checkpoint_root(spark)
