@@ -283,12 +283,41 @@ select principal_type, principal_id, workspace_id, uc_catalog, uc_schema, volume
        'user_0_x', timestamp '""" + AS_OF + """', 'FOLDER'
 from bulk_ok where coalesce(permission <> '', false)""")
 def q_snapshot_sink(spark, sf):
-    """Version 1 = current grants, version 2 = after a bulk change; read latest."""
+    """Grants in buckets of volumes; a bulk change rewrites the buckets it names."""
     from permgrid.operators.changes import accepted_changes, bulk_change
-    root = scratch_path(spark, "grants_snapshots")
-    g = TB.conform(fx.grants(spark, sf), GRANTS)
-    TB.write_snapshot(g, root, spark)
-    v1 = TB.read_latest(spark, root, GRANTS)
+    from permgrid.sources import buckets as B
+    path = scratch_path(spark, "grants")
+    B.write_buckets(TB.conform(fx.grants(spark, sf), GRANTS), path)
     ok = accepted_changes(fx.changes(spark, sf))
-    TB.write_snapshot(bulk_change(v1, ok, "user_0_x", AS_OF)[0], root, spark)
-    return TB.read_latest(spark, root, GRANTS)
+    named = B.buckets_named(ok)
+    B.replace_buckets(bulk_change(B.read_buckets(spark, path, GRANTS, named), ok, "user_0_x", AS_OF)[0], path, named)
+    return B.read_buckets(spark, path, GRANTS)
+
+
+@register("matrix_maintenance", f"""
+with after as (
+  select principal_type, principal_id, {VK}, folder_path, permission, scope from grants g where not exists (
+    select 1 from bulk_ok c where c.principal_type = g.principal_type and c.principal_id = g.principal_id
+      and c.workspace_id = g.workspace_id and c.uc_catalog = g.uc_catalog and c.uc_schema = g.uc_schema
+      and c.volume = g.volume and c.folder_path = g.folder_path)
+  union all
+  select principal_type, principal_id, {VK}, folder_path, permission, 'FOLDER'
+  from bulk_ok where coalesce(permission <> '', false))
+select a.principal_type, a.principal_id, f.workspace_id, f.uc_catalog, f.uc_schema, f.volume, f.folder,
+       case when a.permission = 'DOWNLOAD' then 1 else 0 end as rank, count(*) as n
+from folders f join after a on a.workspace_id = f.workspace_id and a.uc_catalog = f.uc_catalog
+ and a.uc_schema = f.uc_schema and a.volume = f.volume
+where case coalesce(nullif(a.scope, ''), 'FOLDER')
+        when 'VOLUME' then true
+        when 'FOLDER_TREE' then starts_with(f.folder, a.folder_path)
+        else f.folder = a.folder_path end
+group by all""")
+def q_matrix_maintenance(spark, sf):
+    """How many grants support each principal's ranks on each folder, kept up to date through a bulk change."""
+    from permgrid.operators.changes import accepted_changes, bulk_change
+    from permgrid.plans.maintain import MaintainedMatrix
+    m = MaintainedMatrix(spark, scratch_path(spark, "matrix"))
+    m.build(TB.conform(fx.grants(spark, sf), GRANTS), fx.files(spark, sf))
+    ok = accepted_changes(fx.changes(spark, sf))
+    m.change(ok, lambda g: bulk_change(g, ok, "user_0_x", AS_OF)[0])
+    return m.support()

@@ -1,18 +1,11 @@
-"""Stored tables: declared-schema reads, by-name appends, versioned snapshots,
-and idempotent table creation.
-
-Parquet tables cannot UPDATE, DELETE or MERGE, so a change never rewrites what
-it reads: ``write_snapshot`` writes the next version to ``<root>/v=<n>/`` and
-``read_latest`` picks the highest complete version.  A version is complete
-when Spark's ``_SUCCESS`` marker exists, so a job lost half-way leaves only an
-incomplete folder that readers skip, and a re-run writes the next number.
+"""Stored tables: declared-schema reads, by-name appends and idempotent table creation.
+
+Parquet tables cannot UPDATE, DELETE or MERGE; ``sources.buckets`` rewrites the parts of a table
+that a change names.
 """
 
 from __future__ import annotations
 
-import os
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,44 +40,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def complete_versions(spark: SparkSession, root: str) -> list[int]:
-    """Version numbers under ``root`` that have a ``_SUCCESS`` marker."""
-    fs, p, jvm = _hadoop_fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = re.fullmatch(r"v=(\d+)", st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-def _all_versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p, _ = _hadoop_fs(spark, root)
-    if not fs.exists(p):
-        return []
-    return sorted(int(m.group(1)) for st in fs.listStatus(p)
-                  if (m := re.fullmatch(r"v=(\d+)", st.getPath().getName())))
-
-
-def write_snapshot(df: DataFrame, root: str, spark: SparkSession | None = None) -> str:
-    """Write ``df`` as the next version below ``root``; returns its path."""
-    spark = spark or df.sparkSession
-    versions = _all_versions(spark, root)
-    n = (versions[-1] + 1) if versions else 1
-    path = os.path.join(root, f"v={n}")
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
-def read_latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    versions = complete_versions(spark, root)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return read_table(spark, os.path.join(root, f"v={versions[-1]}"), schema)
-
-
 TABLES = {"download_workspaces": WORKSPACES, "download_user": USERS, "download_permissions": GRANTS}
 
 
