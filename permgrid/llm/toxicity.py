@@ -15,6 +15,10 @@ Training uses a bounded sample of labelled rows, ``max_positive`` of each rare c
 Severe is no label of its own: a toxic document is severe when the share of its words that
 tell toxic documents apart is at least that of the median toxic document.
 
+A text is rejected when its probability of being toxic reaches the threshold and its own words speak for it:
+a text of words that the model does not use has the share of toxic labels as its probability and stays,
+however large that share is.
+
 Edge cases: a null or empty text has no features, gets the models' base rates and is never rejected; without
 usable labels, or with labels of one class only, probabilities are that class's share;
 repeated rows and ids give a row each; labels of unknown documents and null labels are
@@ -71,6 +75,10 @@ class TextFeatures:
             yield np.union1d(u, style[n]) if m else u
             at += m
 
+    @staticmethod
+    def style_cell(step, kind):
+        return (mix(step + np.uint64((kind + 1) << 32)) >> np.uint64(64 - BITS)).astype(np.int32)
+
     def style(self, data, off):
         """Cells for how large a share of a text's bytes is of each kind, in steps."""
         out = np.zeros((len(off) - 1, len(STYLE)), np.int32)
@@ -78,10 +86,13 @@ class TextFeatures:
             c = np.concatenate([[0], np.cumsum(table[data], dtype=np.int32)])
             share = (c[off[1:]] - c[off[:-1]]) / np.maximum(np.diff(off), 1)
             step = np.ceil(np.minimum(share * 40, 15)).astype(np.uint64)
-            out[:, k] = (mix(step + np.uint64((k + 1) << 32)) >> np.uint64(64 - BITS)).astype(np.int32)
+            out[:, k] = self.style_cell(step, k)
         return out
 
 
+STYLE_CELLS = np.concatenate([TextFeatures.style_cell(np.arange(16, dtype=np.uint64), k) for k in range(len(STYLE))])
+
+
 def _features(batches):
     import pyarrow as pa
     make = TextFeatures()
@@ -222,10 +233,14 @@ def _score(shared, threshold):
             for cells, weights, extra, bias in models:
                 w = np.zeros(1 << BITS, np.float32)
                 w[cells] = weights
-                z = np.array([w[d].sum() for d in docs]) + (p @ extra if p.shape[1] else 0.0) + bias
+                told = np.array([w[d].sum() for d in docs])
+                if p.shape[1] == CATEGORIES.index("toxic"):
+                    w[STYLE_CELLS] = 0
+                    speaks = np.array([w[d].sum() for d in docs]) > 0  # its words, not its style or the share of labels
+                z = told + (p @ extra if p.shape[1] else 0.0) + bias
                 p = np.concatenate([p, sigmoid(z)[:, None]], 1)
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(p[:, i]) for i in range(p.shape[1])]
-                                             + [pa.array((p[:, 1] >= threshold) & np.array([len(d) > 0 for d in docs], bool))],
+                                             + [pa.array((p[:, 1] >= threshold) & speaks)],
                                              names=["doc", *(f"p_{c}" for c in CATEGORIES), "rejected"])
     return run
 

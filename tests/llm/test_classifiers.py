@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from permgrid.llm import langid, quality_crf, toxicity
 
 SF = "/root/testdata/sf0.1"
@@ -162,3 +163,15 @@ def test_language_odd_tables(spark, documents):
     none = documents([]).select("lang", "text")
     assert sorted((r.page_id, r.lang) for r in langid.identify(pages, none).collect()) == [(1, "fr"), (2, None)]
     assert langid.identify(pages.limit(0), documents([(1, "a b c")])).count() == 0
+
+
+@pytest.mark.parametrize("toxic_share", [0.1, 0.5, 0.9])
+def test_texts_of_unknown_words_are_never_rejected(spark, documents, toxic_share):
+    n = 60
+    bad = int(n * toxic_share)
+    rows = [(i, f"good{i} plain text {i} about things") for i in range(n - bad)] + [(1000 + i, f"bad{i} grumbl snarl {i}") for i in range(bad)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 1000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs = documents(rows + [(5000 + i, f"unseen{i} qqq{i} zzz{i}") for i in range(20)])
+    got = {r.doc_id: r.rejected for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert not any(got[5000 + i] for i in range(20))
+    assert all(got[1000 + i] for i in range(bad))
