@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from permgrid.functions.paths import split_grant_folder
-
 
 def scope_default(scope: Column | str = "scope") -> Column:
     """NULL or empty scope reads as FOLDER; other values are kept as they are."""
@@ -42,23 +40,16 @@ def grant_match_keys(scope: Column | str = "scope",
                      folder_path: Column | str = "folder_path") -> list[Column]:
     """Turn each grant into an equi-join key for the cover test.
 
-    Returns ``(match_kind, match_key, match_rest)``:
+    Returns ``(match_kind, match_key)``:
 
-    * VOLUME           -> ('T', '', '')       every folder has the '' prefix
-    * FOLDER_TREE on X -> ('T', head(X), tail(X)) where head is X through its
-      last '/', tail the rest; X covers F iff head is a '/'-ending prefix of F
-      and the part of F after head starts with tail (raw prefix semantics)
-    * FOLDER on X      -> ('E', X, '')        exact folder
+    * VOLUME           -> ('T', '')       every folder starts with ''
+    * FOLDER_TREE on X -> ('T', X)        X covers F iff F starts with X (raw prefix semantics)
+    * FOLDER on X      -> ('E', X)        exact folder
     A FOLDER or FOLDER_TREE grant with a NULL folder gets a NULL key (no match).
+    The other side is ``paths.folder_probes``.
     """
     s = scope_default(F.col(scope) if isinstance(scope, str) else scope)
     x = F.col(folder_path) if isinstance(folder_path, str) else folder_path
-    head, tail = split_grant_folder(x)
     kind = F.when(s.isin("VOLUME", "FOLDER_TREE"), F.lit("T")).otherwise(F.lit("E"))
-    key = (F.when(s == "VOLUME", F.lit(""))
-            .when(s == "FOLDER_TREE", head)
-            .otherwise(x))
-    rest = (F.when(s == "VOLUME", F.lit(""))
-             .when(s == "FOLDER_TREE", tail)
-             .otherwise(F.lit("")))
-    return [kind.alias("match_kind"), key.alias("match_key"), rest.alias("match_rest")]
+    key = F.when(s == "VOLUME", F.lit("")).otherwise(x)
+    return [kind.alias("match_kind"), key.alias("match_key")]

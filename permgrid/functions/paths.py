@@ -28,32 +28,17 @@ def slash_prefixes(folder: Column | str) -> Column:
     return F.transform(idx, lambda i: F.substr(f, F.lit(1), i))
 
 
-def folder_probes(folder: Column | str) -> Column:
-    """Probe rows of a folder F for the equi-join cover test.
-
-    One struct per '/'-ending prefix P of F plus the empty prefix:
-    ``('T', P, F without P)``, and one exact row ``('E', F, '')``.  A grant
-    (see ``cover.grant_match_keys``) matches a probe on (kind, key) and then
-    only needs ``probe_rest.startswith(match_rest)``.
-    """
-    f = _c(folder)
-    prefixes = F.concat(F.array(F.lit("")), slash_prefixes(f))
-    tree = F.transform(prefixes, lambda p: F.struct(
-        F.lit("T").alias("match_kind"), p.alias("match_key"),
-        F.substr(f, F.length(p) + 1).alias("probe_rest")))
-    exact = F.array(F.struct(F.lit("E").alias("match_kind"), f.alias("match_key"),
-                             F.lit("").alias("probe_rest")))
+def folder_probes(folder: Column | str, lengths: Column | str) -> Column:
+    """Probe rows of a folder F for the equi-join cover test: ``('T', prefix of F)`` for every length
+    that a tree grant of its volume has and F reaches, and ``('E', F)``.  A grant (see
+    ``cover.grant_match_keys``) covers F exactly when it equals a probe.  NULL lengths mean none."""
+    f, ls = _c(folder), _c(lengths)
+    reached = F.filter(F.coalesce(ls, F.array().cast("array<int>")), lambda n: n <= F.length(f))
+    tree = F.transform(reached, lambda n: F.struct(F.lit("T").alias("match_kind"), F.substr(f, F.lit(1), n).alias("match_key")))
+    exact = F.array(F.struct(F.lit("E").alias("match_kind"), f.alias("match_key")))
     return F.when(f.isNotNull(), F.concat(tree, exact))
 
 
-def split_grant_folder(folder_path: Column | str) -> tuple[Column, Column]:
-    """(head, tail): head = through the last '/', tail = the rest (may be '')."""
-    x = _c(folder_path)
-    tail = F.substring_index(x, "/", -1)
-    head = F.substr(x, F.lit(1), F.length(x) - F.length(tail))
-    return head, tail
-
-
 def folder_ancestors(folder: Column | str) -> Column:
     """Proper ancestors (what repeated "Up" reaches): '/'-ending prefixes shorter
     than the folder itself.  ``/a/b/c/`` -> [``/``, ``/a/``, ``/a/b/``]."""

@@ -1,17 +1,21 @@
 """Access decisions: which grants cover a folder, the strongest permission,
 and the action gate.
 
-Plan shape (all equi-joins; the raw-prefix cover test is a cheap residual):
+Plan shape (all equi-joins, without a residual):
 
     requests --distinct question--> (user, VOL_KEY, folder)
-        --explode folder probes--> (.., match_kind, match_key, probe_rest)
+        --join lengths of the volume's tree grants-->
+        --explode folder probes--> (.., match_kind, match_key)
         --join principals on user_id-->
-        --join collapsed grants on (principal, VOL_KEY, match_kind, match_key)
-          where probe_rest startswith match_rest-->
+        --join collapsed grants on (principal, VOL_KEY, match_kind, match_key)-->
         --max(rank) per question--> left join back to requests
 
+A tree grant covers a folder that starts with its path, at a '/' or not.  A folder is probed with its
+prefixes of the lengths that tree grants of its volume have, so a probe meets covering grants only: no
+prefix that many folders share is a key unless a grant names it.
+
 Pre-aggregation: grants are collapsed to their strongest permission per
-(principal, volume, kind, key, rest) and requests to distinct questions, so a
+(principal, volume, kind, key) and requests to distinct questions, so a
 user asking the same folder a million times costs one probe.  A hot group or
 volume shows up as a skewed join key; AQE's skew join splits it.
 """
@@ -31,7 +35,7 @@ MATCH = ["match_kind", "match_key"]
 
 
 def grant_match_rows(grants: DataFrame, *extra: str) -> DataFrame:
-    """Grants as equi-join keys: principal, VOL_KEY, match kind/key/rest, rank."""
+    """Grants as equi-join keys: principal, VOL_KEY, match kind and key, rank."""
     return (grants.select(*PRINCIPAL, *VOL_KEY, *grant_match_keys(),
                           permission_rank().alias("rank"), *extra)
             .where(F.col("match_key").isNotNull()))
@@ -41,19 +45,21 @@ def collapse_grants(grants: DataFrame) -> DataFrame:
     """One row per distinct match key with the strongest permission (partial
     aggregation happens map-side before the shuffle)."""
     return (grant_match_rows(grants)
-            .groupBy(*PRINCIPAL, *VOL_KEY, "match_kind", "match_key", "match_rest")
+            .groupBy(*PRINCIPAL, *VOL_KEY, *MATCH)
             .agg(F.max("rank").alias("rank")))
 
 
-def probe_rows(df: DataFrame, folder: str = "folder") -> DataFrame:
-    """Add the folder probes of ``folder`` as rows."""
-    p = F.explode(folder_probes(F.col(folder))).alias("_p")
-    return (df.select("*", p)
-            .select(*[c for c in df.columns], "_p.match_kind", "_p.match_key", "_p.probe_rest"))
+def prefix_lengths(rules: DataFrame) -> DataFrame:
+    """(VOL_KEY, lengths): the lengths of the tree grants' paths in each volume, from match rows;
+    at most one per character of the longest path."""
+    tree = rules.where(F.col("match_kind") == "T").select(*VOL_KEY, F.length("match_key").alias("_n")).distinct()
+    return tree.groupBy(*VOL_KEY).agg(F.sort_array(F.collect_list("_n")).alias("lengths"))
 
 
-def covers() -> F.Column:
-    return F.col("probe_rest").startswith(F.col("match_rest"))
+def probe_rows(df: DataFrame, rules: DataFrame, folder: str = "folder") -> DataFrame:
+    """Add the folder probes of ``folder`` as rows; ``rules`` are the match rows they shall meet."""
+    probes = df.join(prefix_lengths(rules), VOL_KEY, "left")
+    return probes.select(*df.columns, F.inline(folder_probes(folder, "lengths")))
 
 
 def request_principals(requests: DataFrame, memberships: DataFrame) -> DataFrame:
@@ -65,10 +71,10 @@ def request_principals(requests: DataFrame, memberships: DataFrame) -> DataFrame
 def question_ranks(questions: DataFrame, principals: DataFrame, grants: DataFrame) -> DataFrame:
     """``questions`` = distinct (user_id, VOL_KEY, folder) ->
     (user_id, VOL_KEY, folder, rank) for questions with a covering grant."""
-    q = probe_rows(questions)
+    q = probe_rows(questions, grant_match_rows(grants))
     qp = q.join(principals, "user_id")
     g = collapse_grants(grants)
-    cov = qp.join(g, [*PRINCIPAL, *VOL_KEY, *MATCH]).where(covers())
+    cov = qp.join(g, [*PRINCIPAL, *VOL_KEY, *MATCH])
     return cov.groupBy("user_id", *VOL_KEY, "folder").agg(F.max("rank").alias("rank"))
 
 
@@ -107,8 +113,8 @@ def covering_grants(requests: DataFrame, memberships: DataFrame, grants: DataFra
     """Every (request, grant row) pair where the grant covers the request
     (scope_cover), grant duplicates included."""
     principals = request_principals(requests, memberships)
-    q = probe_rows(requests.select("request_id", "user_id", *VOL_KEY, "folder"))
-    qp = q.join(principals, "user_id")
     g = grant_match_rows(grants, "folder_path", "scope", "permission")
-    cov = qp.join(g.drop("rank"), [*PRINCIPAL, *VOL_KEY, *MATCH]).where(covers())
+    q = probe_rows(requests.select("request_id", "user_id", *VOL_KEY, "folder"), g)
+    qp = q.join(principals, "user_id")
+    cov = qp.join(g.drop("rank"), [*PRINCIPAL, *VOL_KEY, *MATCH])
     return cov.select("request_id", *PRINCIPAL, "folder_path", "scope", "permission")

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from permgrid.operators.authorise import MATCH, PRINCIPAL, covers, grant_match_rows, probe_rows
+from permgrid.operators.authorise import MATCH, PRINCIPAL, grant_match_rows, probe_rows
 from permgrid.operators.skew import key_counts, split_join
 from permgrid.schemas import GRANTS, VOL_KEY
 from permgrid.session import saved
 from permgrid.sources.buckets import BUCKETS, bucket_of, buckets_named, read_buckets, read_notes, replace_buckets, write_buckets
 
 FOLDER_KEY = [*VOL_KEY, "folder"]
-RULE = [*PRINCIPAL, *VOL_KEY, *MATCH, "match_rest", "rank"]
+RULE = [*PRINCIPAL, *VOL_KEY, *MATCH, "rank"]
 STATE_KEY = [*PRINCIPAL, *FOLDER_KEY, "rank"]
 _TEXT = T.StringType()
 FOLDERS = T.StructType([T.StructField(c, _TEXT) for c in FOLDER_KEY])
@@ -50,11 +50,11 @@ def grant_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 def support(folders: DataFrame, rules: DataFrame) -> DataFrame:
     """(principal, folder key, rank, n): the rules' counts added up on the folders they cover."""
     on = [*VOL_KEY, *MATCH]
-    probes = saved(probe_rows(folders.select(*FOLDER_KEY)))
     rules = saved(rules)
+    probes = saved(probe_rows(folders.select(*FOLDER_KEY), rules))
     expected = (key_counts(probes, on, "_f").join(key_counts(rules, on, "_g"), on)
                 .select(*on, (F.col("_f") * F.col("_g")).alias("rows")))
-    met = split_join(probes, rules, on, expected).where(covers())
+    met = split_join(probes, rules, on, expected)
     return met.groupBy(*STATE_KEY).agg(F.sum("n").alias("n"))
 
 

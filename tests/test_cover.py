@@ -102,3 +102,16 @@ def test_equi_join_matches_python_rule(spark):
         assert got[i] == want, (f, cov)
         assert {(i, g["folder_path"], g["scope"], g["permission"]) for g in cov} == \
             {p for p in pairs if p[0] == i}
+
+
+def test_no_key_holds_folders_that_no_grant_names(spark):
+    """Raw prefixes below one parent meet the folders they cover, not all folders of the parent."""
+    from permgrid.operators.authorise import MATCH, grant_match_rows, probe_rows
+    from permgrid.schemas import VOL_KEY
+    grants = spark.createDataFrame([_grant("FOLDER_TREE", f"/p{i:03d}") for i in range(200)], GRANT_SCHEMA)
+    folders = spark.createDataFrame([("w", "c", "s", "v", f"/p{i:03d}x{j}/") for i in range(200) for j in range(20)], "workspace_id string, "
+                                    "uc_catalog string, uc_schema string, volume string, folder string")
+    rules = grant_match_rows(grants)
+    met = probe_rows(folders, rules).join(rules, [*VOL_KEY, *MATCH])
+    assert met.count() == 4000  # every pair that meets is a cover
+    assert met.groupBy("match_key").count().agg(F.max("count")).first()[0] == 20
