@@ -155,6 +155,14 @@ select event_id as request_id, 'f_' || l_orderkey || '_' || l_linenumber || '_'
 from events join lineitem on l_orderkey = event_id where event_type = 'purchase'
 union all
 select event_id, 'none.csv' from events where event_type = 'purchase'"""),
+    ("facet_selections", """
+select event_id as selection_id,
+       case when event_id % 2 = 0 then case when event_id % 11 = 0 then '' else c_name end end as display_name,
+       case when (event_id // 2) % 2 = 0 then 'NATION_' || (event_id % 26) end as workspace_name,
+       case when (event_id // 4) % 2 = 0 then 'cat' || (event_id % 3) end as uc_catalog,
+       case when (event_id // 8) % 2 = 0 then 'vol' || (event_id % 9) end as volume,
+       case when (event_id // 16) % 2 = 0 then case when event_id % 3 = 0 then 'READ' else 'DOWNLOAD' end end as permission
+from events left join customer on c_custkey = user_id"""),
     ("admin_ids", """
 select distinct user_id from users where is_admin"""),
     ("names", """

@@ -89,11 +89,16 @@ def q_grants_listing(spark, sf):
     return _listing(spark, sf)
 
 
-@register("sorted_listings", """
-select * from listing
-order by display_name, workspace_id, uc_catalog, uc_schema, volume, folder_path""")
+_BY = "display_name, workspace_id, uc_catalog, uc_schema, volume, folder_path"
+_REST = "principal_type, principal_id, sso_email, workspace_name, permission, scope, granted_by, granted_at"
+
+
+@register("sorted_listings", f"""
+select *, row_number() over (order by {", ".join(c + " nulls first" for c in (_BY + ", " + _REST).split(", "))}) as position
+from listing""")
 def q_sorted_listings(spark, sf):
-    return L.sorted_listing(_listing(spark, sf))
+    """The listing with every row's place in the reference's order."""
+    return L.numbered_listing(_listing(spark, sf))
 
 
 @register("facet_values", """
@@ -120,6 +125,19 @@ def q_facet_counts(spark, sf):
     return V.facet_counts(_listing(spark, sf), SELECTION)
 
 
+_ANY = " and ".join(f"(coalesce(s.{c}, '') = '' or l.{c} = s.{c})" for c in V.FILTERS)
+
+
+@register("facet_counts_many", f"""
+with kept as (select display_name, workspace_name, uc_catalog, volume, permission, count(*) as n from listing group by all)
+select s.selection_id, cast(coalesce(sum(l.n), 0) as bigint) as matched, (select count(*) from listing) as total
+from facet_selections s left join kept l on {_ANY}
+group by s.selection_id""")
+def q_facet_counts_many(spark, sf):
+    """How many listing rows each of many filter requests leaves, over every subset of the five filters."""
+    return V.facet_counts_many(_listing(spark, sf), fx.facet_selections(spark, sf))
+
+
 @register("identity_resolve", """
 select l.email, coalesce(k.user_id, l.email) as user_id,
        case when k.user_id is not null then k.display_name

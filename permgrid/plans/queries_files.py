@@ -128,6 +128,21 @@ def q_gated_listing(spark, sf):
     return FL.gated_listing_totals(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf), fx.files(spark, sf))
 
 
+@register("gated_listing_rows", f"""
+with entries as (
+  select {FK}, 'file' as entry_type, name, folder || name as path from files
+  union all
+  select distinct {VK}, substr(folder, 1, i), 'dir', split_part(substr(folder, i + 1), '/', 1),
+         substr(folder, 1, i) || split_part(substr(folder, i + 1), '/', 1) || '/'
+  from (select {VK}, folder, unnest(range(1, length(folder) + 1)) as i from folders)
+  where substr(folder, i, 1) = '/' and strpos(substr(folder, i + 1), '/') > 0)
+select d.request_id, d.effective, e.entry_type, e.name, e.path
+from decisions d join entries e using ({FK}) where d.action = 'browse' and d.effective <> 'DENIED'""")
+def q_gated_listing_rows(spark, sf):
+    """The entries that each permitted browse request sees."""
+    return FL.gated_listing(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf), fx.files(spark, sf))
+
+
 @register("bounded_up", """
 select distinct c.request_id, substr(c.folder, 1, u.i) as ancestor
 from covering c, unnest(range(1, length(c.folder))) u(i)
@@ -239,6 +254,18 @@ def q_preview_batch(spark, sf):
     return ok.join(per, [*VOL_KEY, "folder"]).select("request_id", "n_rows", "n_cells", "part_sum")
 
 
+@register("gated_preview", f"""
+with {_STORE}
+select d.request_id, cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber,
+       cast(l_partkey as varchar) as l_partkey, l_returnflag, l_shipdate
+from decisions d join store using ({FK}) where d.action = 'preview' and d.effective <> 'DENIED'""")
+def q_gated_preview(spark, sf):
+    """The preview rows that each permitted preview request sees, as cells."""
+    p = FL.gated_preview(fx.requests(spark, sf), fx.memberships(spark, sf), fx.grants(spark, sf), _lines(spark, sf))
+    return p.where(F.col("row_no") > 0).select("request_id", *(
+        F.get("cells", i).alias(c) for i, c in enumerate(_HEADER.split(",")) if c not in ("l_quantity", "l_extendedprice")))
+
+
 _CSV_COLUMNS = ("email", "display_name", "workspace_id", "uc_catalog", "uc_schema", "volume", "folder_path", "permission", "scope",
                 "principal_type", "principal_id")
 

@@ -310,3 +310,18 @@ def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("f_"), _s("l_orderkey"), F.lit("_"), _s("l_linenumber"), F.lit("_"), _s("l_partkey"), F.lit(".csv")).alias("name"))
     named = r.join(li, "o").select("request_id", "name")
     return named.unionByName(r.select("request_id", F.lit("none.csv").alias("name")))
+
+
+def facet_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter requests on the grants listing, one per event: every subset of the five filters occurs, some
+    values are empty (no filter) and some name nothing."""
+    e = table(spark, sf_dir, "events")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    k = F.col("event_id")
+    return e.join(c, "user_id", "left").select(
+        k.alias("selection_id"),
+        F.when(k % 2 == 0, F.when(k % 11 == 0, F.lit("")).otherwise(F.col("c_name"))).alias("display_name"),
+        F.when(F.floor(k / 2) % 2 == 0, F.concat(F.lit("NATION_"), _s(k % 26))).alias("workspace_name"),
+        F.when(F.floor(k / 4) % 2 == 0, F.concat(F.lit("cat"), _s(k % 3))).alias("uc_catalog"),
+        F.when(F.floor(k / 8) % 2 == 0, F.concat(F.lit("vol"), _s(k % 9))).alias("volume"),
+        F.when(F.floor(k / 16) % 2 == 0, F.when(k % 3 == 0, F.lit("READ")).otherwise(F.lit("DOWNLOAD"))).alias("permission"))
