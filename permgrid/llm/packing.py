@@ -67,12 +67,13 @@ class WordEncoder:
 
     def word(self, w):
         """Ids of one word without white space."""
-        if self.safe(w) and "<|" not in w:
+        low = w.lower()  # may leave the range of letters that the pattern knows
+        if self.safe(w) and self.safe(low) and "<|" not in w:
             if w.isalpha():
-                got = self.part(w.lower())
+                got = self.part(low)
             else:
                 got = ()
-                for p in self.split.findall(w.lower()):
+                for p in self.split.findall(low):
                     got += self.part(p)
         else:
             got = tuple([self.ints[i] for i in self.tok.encode(w, add_special_tokens=False).ids])

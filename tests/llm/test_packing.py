@@ -55,3 +55,20 @@ def test_place_takes_the_cheapest_sequence():
     assert sum(x[2] for x in out) == 20
     cut = place([(7, 0), (7, 1), (6, 2)], 2, 10, 1.0, 0.1)
     assert sorted((k, length) for k, _, length, _, _ in cut) == [(0, 7), (1, 7), (2, 3), (2, 3)]
+
+
+def test_encoder_on_every_pair_of_latin_characters():
+    """All characters from U+0021 to U+024F beside each other and beside punctuation, against the tokenizer."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from permgrid.llm.packing import WordEncoder, default_tokenizer
+    enc, tok = WordEncoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    signs = [chr(c) for c in range(0x21, 0x250)]
+    rnd = random.Random(6)
+    texts = [f"-{c} {c}- {c}{c} a{c}1 1{c}a '{c}s" for c in signs]
+    texts += [f"{x}{y}" for x in signs for y in rnd.sample(signs, 60)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, w in zip(texts, want) if enc.ids(t).tolist() != w]
+    assert not wrong, wrong[:20]
