@@ -14,8 +14,12 @@ aggregate), sketches and sets are broadcast and documents stay where they are.
 that both sketches are joined by hash, and candidates are verified with equi-joins.  Both
 ways give the same rows.
 
-Edge cases: null texts are empty; an item of fewer than five words has no shingle and is
-never found; null ids of items or documents take no part; for repeated ids the best row
+An item of fewer than five words is one shingle of all its words; such items are size partitions
+of their own, one per number of words that occurs, and are held against documents' word sequences of
+that length.
+
+Edge cases: null texts are empty; an item without words is never found; texts are taken whole at any
+length; null ids of items or documents take no part; for repeated ids the best row
 counts; other columns are ignored; empty tables give an empty result.
 """
 
@@ -95,10 +99,21 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     max_shingles: int = 4_000_000) -> DataFrame:
     """(doc, item, q, n): documents that hold n of an item's q shingles, den * n >= num * q."""
     text_batches(docs.sparkSession)
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    items = (benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-             .where("item is not null").distinct())
+    size = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    items = saved(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+                  .where("item is not null").distinct().withColumn("words", size))
+    found = _contained(rows, items.where(F.col("words") >= words).drop("words"), words, num, den, max_shingles)
+    short = items.where((F.col("words") > 0) & (F.col("words") < words))
+    for r in short.select("words").distinct().collect():  # fewer than ``words`` numbers
+        k = r["words"]
+        found = found.unionByName(_contained(rows, short.where(F.col("words") == k).drop("words"), k, num, den, max_shingles))
+    return found.groupBy("doc", "item").agg(F.max(F.struct(F.col("n") / F.col("q"), "q", "n")).alias("s")).select("doc", "item", "s.q", "s.n")
+
+
+def _contained(rows: DataFrame, items: DataFrame, words: int, num: int, den: int, max_shingles: int) -> DataFrame:
+    """Rows of (doc, item, q, n) over shingles of ``words`` words; repeated ids may give several."""
+    spark = rows.sparkSession
     sets = saved(items.mapInArrow(_item_sets(words, num, den), "item long, q long, hashes array<long>, sketch array<long>")
                  .where("q > 0"))
     if (sets.agg(F.sum("q")).first()[0] or 0) <= max_shingles:
@@ -112,8 +127,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             order = np.argsort(value, kind="stable")
             parts.append((value.max(), value[order], owner[order]))
         shared = spark.sparkContext.broadcast(([r.item for r in got], arrays, parts))
-        found = rows.mapInArrow(_search(shared, words, num, den), "doc long, item long, q long, n long")
-        return found.groupBy("doc", "item").agg(F.max(F.struct(F.col("n") / F.col("q"), "q", "n")).alias("s")).select("doc", "item", "s.q", "s.n")
+        return rows.mapInArrow(_search(shared, words, num, den), "doc long, item long, q long, n long")
     flip = F.lit(-(1 << 63)).cast("long")  # hashes compare as unsigned
     top = sets.select(F.explode("sketch").alias("h")).agg(F.max(F.col("h").bitwiseXOR(flip))).first()[0]
     numbered = rows.where("doc is not null").select("doc", "text", F.xxhash64("text").alias("row"))
@@ -129,8 +143,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             .select("doc", "row", F.explode("hashes").alias("h")).distinct())
     wanted = cand.join(sets.select("item", "version", F.explode("hashes").alias("h")), ["item", "version"])
     n = wanted.join(held, ["doc", "row", "h"]).groupBy("doc", "row", "item", "version", "q").agg(F.count(F.lit(1)).alias("n"))
-    n = n.where(F.col("n") * den >= F.col("q") * num)
-    return n.groupBy("doc", "item").agg(F.max(F.struct(F.col("n") / F.col("q"), "q", "n")).alias("s")).select("doc", "item", "s.q", "s.n")
+    return n.where(F.col("n") * den >= F.col("q") * num).select("doc", "item", "q", "n")
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -151,16 +164,19 @@ WITH item_words AS (
   SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 item_sh AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words WHERE len(w) >= 5)),
+  SELECT DISTINCT item_id, 5 AS k, array_to_string(w[i:i+4], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words WHERE len(w) >= 5)
+  UNION ALL
+  SELECT DISTINCT item_id, len(w), array_to_string(w, ' ') FROM item_words WHERE len(w) BETWEEN 1 AND 4),
+ks AS (SELECT DISTINCT k FROM item_sh),
 sizes AS (SELECT item_id, count(*) AS q FROM item_sh GROUP BY 1),
 doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 doc_sh AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words WHERE len(w) >= 5)),
-hits AS (SELECT doc_id, item_id, count(*) AS n FROM doc_sh JOIN item_sh USING (s) GROUP BY 1, 2)
+  SELECT DISTINCT doc_id, k, array_to_string(w[i:i+k-1], ' ') AS s
+  FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, ks WHERE len(w) >= k)),
+hits AS (SELECT doc_id, item_id, count(*) AS n FROM doc_sh JOIN item_sh USING (k, s) GROUP BY 1, 2)
 SELECT doc_id, item_id, q AS item_shingles, n AS shared, n / q AS containment
 FROM hits JOIN sizes USING (item_id) WHERE n * 100 >= q * 80
 """

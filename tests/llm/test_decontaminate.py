@@ -10,16 +10,21 @@ from permgrid.llm import decontaminate as D
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def shingles(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+
+
+def shingles(text, k):
+    w = words(text)
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
 
 
 def brute(docs, items):
     out = {}
     for d, t in docs:
         for i, x in items:
-            q, n = shingles(x), len(shingles(t) & shingles(x))
+            k = min(5, len(words(x))) or 1
+            q, n = shingles(x, k), len(shingles(t, k) & shingles(x, k))
             if d is not None and i is not None and q and 100 * n >= 80 * len(q):
                 out[d, i] = max(out.get((d, i), (0, 0, 0)), (n / len(q), len(q), n))
     return sorted((d, i, q, n) for (d, i), (_, q, n) in out.items())
@@ -29,7 +34,7 @@ def cases():
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(200)]
     say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(i, " ".join(say(rng.randint(3, 90)))) for i in range(30)] + [(40, None), (41, ""), (42, "a b c d"), (None, "x y z u v w"),
+    items = [(i, " ".join(say(rng.randint(3, 90)))) for i in range(30)] + [(40, None), (41, ""), (42, "a b c d"), (43, "w1 W2"), (44, "w7"), (45, " w5\tw6  w7 "), (46, "A b C"), (None, "x y z u v w"),
                                                                          (3, "again other words for one id here")]
     docs = []
     for d in range(80):
@@ -42,7 +47,7 @@ def cases():
             at = rng.randint(0, len(t))
             t[at:at] = x
         docs.append((d, " ".join(t)))
-    docs += [(500, None), (501, ""), (None, items[0][1]), (502, items[5][1].upper() + " \n " * 3), (502, "other"), (503, items[3][1])]
+    docs += [(500, None), (501, ""), (None, items[0][1]), (502, items[5][1].upper() + " \n " * 3), (502, "other"), (503, items[3][1]), (504, "x a B c D y"), (505, "w1 w2"), (506, "w1w2"), (507, "w7")]
     return docs, items
 
 
@@ -67,6 +72,18 @@ def test_drop(spark, documents):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 3] and kept.columns == df.columns
 
 
+def test_sql_on_short_items_and_repeated_ids(documents, spark):
+    docs, items = cases()
+    con = duckdb.connect()
+    con.register("d", documents(docs).toPandas())
+    con.register("b", spark.createDataFrame(items, "item_id long, text string").toPandas())
+    con.execute("create view documents as select cast(doc_id as bigint) as doc_id, text from d where doc_id <> 502")
+    con.execute("create view benchmark as select cast(item_id as bigint) as item_id, text from b where item_id <> 3")
+    want = sorted(con.execute(f"select doc_id, item_id, item_shingles, shared from ({D.ORACLE})").fetchall())
+    kept = [r for r in docs if r[0] != 502], [r for r in items if r[0] != 3]
+    assert want == brute(*kept) and any(i in (42, 43, 44, 45) for _, i, _, _ in want)
+
+
 def test_sql(spark):
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
