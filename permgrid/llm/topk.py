@@ -12,8 +12,8 @@ queries, and each row of blocks meets each row of queries once through an equi-j
 both row numbers.  No query list is broadcast or collected.
 
 Edge cases: vectors that are null, empty or hold null, NaN or infinite components take no
-part; a vector whose length differs from the query's is no candidate; repeated ids count
-once, with the vector that sorts first; a query never returns its own id; ties go to the
+part; a vector whose length differs from the query's is no candidate; every row of a repeated id is a
+candidate, and such a query id returns the best over its rows; a query never returns its own id; ties go to the
 smaller id; an empty table gives an empty result; null ids take no part; other columns
 are ignored.
 """
@@ -116,19 +116,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
         good = F.forall(F.col("x"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return (df.select(F.col(id_col).cast("long").alias("id"), v.alias("x"))
                 .where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & good)
-                .select("id", F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
-                .groupBy("id").agg(F.min("v").alias("v")))
+                .select("id", F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v")))
 
-    index = saved(integers(vectors).repartitionByRange("id").sortWithinPartitions("id")
-                  .mapInPandas(_pack(vectors_per_row, 0), PACK))
-    asked = saved(integers(queries).repartitionByRange("id").sortWithinPartitions("id")
-                  .mapInPandas(_pack(queries_per_row, 1), PACK))
+    def in_rows(df, size, kind):  # rows of one id may be dealt to several tasks
+        order = ["id", F.xxhash64("v")]
+        return saved(integers(df).repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_pack(size, kind), PACK))
+
+    index, asked = in_rows(vectors, vectors_per_row, 0), in_rows(queries, queries_per_row, 1)
     asked = asked.select(F.col("row").alias("q_row"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"),
                          F.col("weights").alias("q_weights"))
     # every (query row, block row) of one length: ids of rows first, then their contents
     q_rows = asked.select("q_row", F.col("q_dim").alias("dim"))
     met = index.select("row", "dim").join(q_rows, "dim").select("row", "q_row")
-    met = met.repartition("row", "q_row")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(tasks, "row", "q_row")  # a stated number, since these rows are few but each is much work
     pairs = met.join(index, "row").join(asked, "q_row").select("q_ids", "q_weights", "ids", "weights")
     found = pairs.mapInPandas(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

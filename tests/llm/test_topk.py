@@ -8,17 +8,12 @@ from permgrid.llm import topk
 
 
 def brute(rows, k=10, scale=1024):
-    by = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or math.isnan(x) or math.isinf(x) for x in v):
-            continue
-        w = [math.floor(scale * x) for x in v]
-        by[i] = min(by.get(i, w), w)
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows
+            if i is not None and v and not any(x is None or math.isnan(x) or math.isinf(x) for x in v)]
     out = []
-    for q, w in by.items():
-        if q % 100 == 0:
-            s = sorted(((-sum(a * b for a, b in zip(w, c)), i) for i, c in by.items() if i != q and len(c) == len(w)))[:k]
-            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
+    for q in {i for i, _ in kept if i % 100 == 0}:
+        s = sorted((-sum(a * b for a, b in zip(w, c)), i) for j, w in kept if j == q for i, c in kept if i != q and len(c) == len(w))[:k]
+        out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
     return sorted(out)
 
 
@@ -54,6 +49,17 @@ def test_odd_rows(spark, clashing):
     assert topk.search_every_hundredth(frame(spark, [])).count() == 0
 
 
+def test_every_row_of_a_repeated_id_counts(spark):
+    rng = random.Random(8)
+    rows = [(1, [1.0, 0.0]), (1, [5.0, 0.0]), (100, [1.0, 0.0]), (100, [-1.0, 0.5])] + [(7, [f32(rng), f32(rng)]) for _ in range(400)]
+    rows += [(i, [f32(rng), f32(rng)]) for i in range(200, 230)]
+    got = rows_of(topk.top_k(frame(spark, rows), frame(spark, rows).where("vec_id % 100 = 0"), queries_per_row=1, vectors_per_row=50))
+    assert got == brute(rows) and (100, 1, 1, 5 * 1024 * 1024) in got
+    con = duckdb.connect()
+    con.register("embeddings", frame(spark, rows).toPandas())
+    assert sorted(con.execute(f"select query_id, rank, vec_id, score from ({topk.ORACLE})").fetchall()) == got
+
+
 def test_sql(spark):
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
