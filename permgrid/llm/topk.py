@@ -128,9 +128,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     # every (query row, block row) of one length: ids of rows first, then their contents
     q_rows = asked.select("q_row", F.col("q_dim").alias("dim"))
     met = index.select("row", "dim").join(q_rows, "dim").select("row", "q_row")
+    # a stated number of tasks, which is not merged again: the rows are few, but each is much work
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(tasks, "row", "q_row")  # a stated number, since these rows are few but each is much work
-    pairs = met.join(index, "row").join(asked, "q_row").select("q_ids", "q_weights", "ids", "weights")
+    pairs = met.join(index, "row").join(asked, "q_row").repartition(tasks, "row", "q_row").select("q_ids", "q_weights", "ids", "weights")
     found = pairs.mapInPandas(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
