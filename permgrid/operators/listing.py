@@ -37,21 +37,25 @@ def sorted_listing(listing: DataFrame) -> DataFrame:
     return listing.orderBy(*LISTING_ORDER)
 
 
-def numbered_listing(listing: DataFrame) -> DataFrame:
-    """The listing with ``position`` (from 1) in that order, ties by the other columns.
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``position`` (from 1) in the order of the columns ``order``.
 
     A range-partitioned sort numbers rows within its partitions; one count per partition gives the
-    rows before it, so no task sees the whole listing."""
-    rest = [c for c in ("principal_type", "principal_id", "sso_email", "workspace_name", "permission", "scope", "granted_by", "granted_at")
-            if c in listing.columns]
+    rows before it, so no task sees all rows."""
     part, at = F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
-    rows = saved(listing.orderBy(*LISTING_ORDER, *rest).select("*", part, at))
+    rows = saved(df.orderBy(*order).select("*", part, at))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = (rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     return rows.join(offset, "_part").withColumn("position", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
+def numbered_listing(listing: DataFrame) -> DataFrame:
+    """The listing with its rows' positions in that order, ties by the other columns."""
+    return numbered(listing, [*LISTING_ORDER, "principal_type", "principal_id", "sso_email", "workspace_name", "permission", "scope",
+                              "granted_by", "granted_at"])
+
+
 def identity_resolve(logins: DataFrame, users: DataFrame) -> DataFrame:
     """Login e-mail -> (user_id, display_name, is_admin).  A users row with
     that e-mail wins (lowest user_id if several); otherwise the e-mail is the id,

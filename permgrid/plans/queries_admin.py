@@ -102,13 +102,15 @@ def q_sorted_listings(spark, sf):
 
 
 @register("facet_values", """
-select distinct facet, value from (
+select facet, value, row_number() over (order by facet, value nulls first) as position
+from (select distinct facet, value from (
   select 'display_name' as facet, display_name as value from listing
   union all select 'workspace_name', workspace_name from listing
   union all select 'uc_catalog', uc_catalog from listing
-  union all select 'volume', volume from listing)""")
+  union all select 'volume', volume from listing))""")
 def q_facet_values(spark, sf):
-    return V.facet_values(_listing(spark, sf))
+    """The values of each facet with their places in the sorted list."""
+    return L.numbered(V.facet_values(_listing(spark, sf)), ["facet", "value"])
 
 
 @register("facet_filter", """
