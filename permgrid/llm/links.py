@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permgrid.session import checkpoint_root
+from permgrid.session import checkpoint_root, scratch_path
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -14,6 +14,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read again: later jobs read the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_batches(spark, rows: int = 2500) -> None:
     """Texts travel to Python in Arrow batches of at most ``rows`` rows from here on (Spark's own
     default suits narrow rows): a batch is held by the JVM and the Python worker at once."""
