@@ -53,7 +53,7 @@ def support(folders: DataFrame, rules: DataFrame) -> DataFrame:
     rules = saved(rules)
     probes = saved(probe_rows(folders.select(*FOLDER_KEY), rules))
     expected = (key_counts(probes, on, "_f").join(key_counts(rules, on, "_g"), on)
-                .select(*on, (F.col("_f") * F.col("_g")).alias("rows")))
+                .select(*on, (F.col("_f") * F.col("_g")).alias("rows"), F.col("_f").alias("lefts")))
     met = split_join(probes, rules, on, expected)
     return met.groupBy(*STATE_KEY).agg(F.sum("n").alias("n"))
 
