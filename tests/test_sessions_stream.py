@@ -87,3 +87,17 @@ def test_equal_to_batch_over_the_fixture(spark, folders):
     got, want = T.run_available(spark, landing, out, DELAY), S.session_groups_asof(req, mints)
     assert got.count() == req.count()
     assert got.exceptAll(want.select(*got.columns)).isEmpty()
+
+
+def test_users_share_states(spark, folders):
+    """States are one per bucket of users, not one per user, and answers stay those of each user."""
+    landing, out = folders
+    rnd = random.Random(5)
+    mints = [(f"u{rnd.randint(0, 80)}", at(rnd.randint(0, 300))) for _ in range(150)] + [(None, at(5))]
+    req = [(i, f"u{rnd.randint(0, 90)}", at(rnd.randint(0, 300))) for i in range(200)] + [(900, None, at(10)), (901, None, at(299))]
+    land(T.session_events(spark.createDataFrame(req, REQ), spark.createDataFrame(mints, MINT)), landing)
+    assert T.run_available(spark, landing, out, DELAY, buckets=4).count() < len(req)  # the others wait in the state
+    assert 0 < spark.read.format("statestore").load(os.path.join(out, "_checkpoint")).count() <= 4
+    land(T.closing_event(spark, at(300), HOUR), landing)
+    got = [tuple(r) for r in T.run_available(spark, landing, out, DELAY, buckets=4).collect()]
+    assert len(got) == len(req) and set(got) == batch_form(spark, req, mints)
