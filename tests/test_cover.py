@@ -115,3 +115,22 @@ def test_no_key_holds_folders_that_no_grant_names(spark):
     met = probe_rows(folders, rules).join(rules, [*VOL_KEY, *MATCH])
     assert met.count() == 4000  # every pair that meets is a cover
     assert met.groupBy("match_key").count().agg(F.max("count")).first()[0] == 20
+
+
+def test_grants_that_say_the_same_meet_a_request_once(spark, monkeypatch):
+    """Equal grants are one row with a number before the join, in pieces, and as many rows after it."""
+    from permgrid.operators import authorise as A
+    monkeypatch.setattr(A, "REPEATS", 3)
+    said = [_grant("VOLUME", None, "READ", "u1")] * 7 + [_grant("VOLUME", None, "DOWNLOAD", "u1")] * 3 + [_grant(None, "/a/", None, "u1")] * 2
+    gdf = spark.createDataFrame(said, GRANT_SCHEMA)
+    rules = A.repeated_rules(A.grant_match_rows(gdf, "folder_path", "scope", "permission").drop("rank"))
+    assert sorted((r.permission or "", r.n) for r in rules.collect()) == [("", 2), ("DOWNLOAD", 3), ("READ", 1), ("READ", 3), ("READ", 3)]
+    rdf = spark.createDataFrame([(1, "u1", "w", "c", "s", "v", "/a/", "browse"), (2, "u1", "w", "c", "s", "v", "/b/", "browse"),
+                                 (3, None, "w", "c", "s", "v", "/a/", "browse")], REQ_SCHEMA)
+    got = covering_grants(rdf, spark.createDataFrame([], "user_id string, group_name string"), gdf)
+    assert got.columns == ["request_id", "principal_type", "principal_id", "folder_path", "scope", "permission"]
+    of = lambda i, path: [(i, None, "VOLUME", "READ")] * 7 + [(i, None, "VOLUME", "DOWNLOAD")] * 3 + [(i, "/a/", None, None)] * (2 if path else 0)
+    rows = [(r.request_id, r.folder_path, r.scope, r.permission) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted(of(1, True) + of(2, False), key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(array_repeat") < plan.index("Join ") < plan.rindex("Aggregate [")
