@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permgrid.llm.links import bounded, saved, text_batches
-from permgrid.llm.wordhash import WordHasher, small_batches, space_separators
+from permgrid.llm.wordhash import CHUNK, WordHasher, small_batches, space_separators
 
 NUM, DEN = 80, 100
 
@@ -59,7 +59,7 @@ def _search(shared, words, num, den):
         import pyarrow as pa
         items, sets, parts = shared.value
         hasher = WordHasher(space_separators())
-        for b in small_batches(batches, 1):
+        for b in small_batches(batches, 1, CHUNK):
             rows = []
             for doc, u in zip(b.column(0).to_pylist(), hasher.shingles(b.column(1), words, short_as_one=False)):
                 if doc is None or not len(u):
@@ -85,7 +85,7 @@ def _doc_sets(words, top):
     def run(batches):
         import pyarrow as pa
         hasher = WordHasher(space_separators())
-        for b in small_batches(batches, 1):
+        for b in small_batches(batches, 1, CHUNK):
             sets = list(hasher.shingles(b.column(1), words, short_as_one=False))
             lists = lambda x: pa.array([v.view(np.int64) for v in x], pa.list_(pa.int64()))
             small = [u[:np.searchsorted(u, np.uint64(top), "right")] for u in sets]
